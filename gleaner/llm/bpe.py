@@ -32,7 +32,7 @@ from gleaner.llm.common import pieces, texts_of
 #: Fixed by the format of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words and token pairs that a worker remembers before it starts anew.
-WORDS_KEPT, PAIRS_KEPT = 250_000, 500_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 300_000
 #: The classes of PATTERN among characters below U+0250, for Python's faster engine.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
 _CUT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
@@ -56,7 +56,6 @@ class TrieBpe:
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         self.bytes: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.ids = {b: i for i, b in self.bytes.items()}
-        self.longest = max(map(len, self.ids))
         self.pairs: dict[tuple[int, int], int] = {}
         self.rank = dict.fromkeys(self.bytes, -1)
         self.halves: dict[int, tuple[int, int]] = {}
@@ -73,17 +72,17 @@ class TrieBpe:
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.clean: dict[tuple[int, int], bool] = {}
+        self.clean: dict[int, bool] = {}
 
     def joins(self, a: int, b: int) -> bool:
         """Whether no merge ever crosses the border between tokens a and b.
         The merges that made them are undone from the last to the first; each
         pair that met at the border must have had a higher rank than what in
         fact happened to its sides next."""
-        found = self.clean.get((a, b))
+        found = self.clean.get(a << 20 | b)
         if found is not None:
             return found
-        rank, halves, pairs, key = self.rank, self.halves, self.pairs, (a, b)
+        rank, halves, pairs, key = self.rank, self.halves, self.pairs, a << 20 | b
         next_a = next_b = float("inf")
         good = True
         while True:
@@ -107,7 +106,7 @@ class TrieBpe:
         """Encodes words that aren't known yet. The trie is held as its words
         in sorted order: a depth-first walk meets them in that order, and what a
         word shares with the one before it is the path that stays on the stack."""
-        ids, longest, joins, clean, known = self.ids, self.longest, self.joins, self.clean, self.known
+        ids, joins, clean, known = self.ids, self.joins, self.clean, self.known
         last: list[int] = []
         sizes: list[int] = []
         before = b""
@@ -118,15 +117,18 @@ class TrieBpe:
             del last[shared:]
             del sizes[shared:]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                # exactly one token fits; the one that grows the last token and
+                # the one that starts anew are the likeliest
+                grown = end - 1 - sizes[-1] if sizes else 0
+                for start in chain((grown, end - 1), range(grown - 1, -1, -1), range(end - 2, grown, -1)):
                     token = ids.get(word[start:end])
                     if token is None:
                         continue
                     if start == 0:
                         break
-                    pair = (last[start - 1], token)
-                    good = clean.get(pair)
-                    if good or good is None and joins(*pair):
+                    before_it = last[start - 1]
+                    good = clean.get(before_it << 20 | token)
+                    if good or good is None and joins(before_it, token):
                         break
                 last.append(token)
                 sizes.append(end - start)
@@ -213,10 +215,29 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column:
     return out.withColumnRenamed("id", id_column)
 
 
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """encode() and decode() in one pass: (id_column, ids, text), the text
+    being what the ids decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for batch in batches:
+            texts = texts_of(batch, "text")
+            for start, end in pieces(texts, 1_000_000):
+                found = bpe.encode_all(texts[start:end])
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                back = pa.array([bpe.decode(memoryview(x).cast("i")) for x in found], pa.string())
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start), ids, back], ["id", "ids", "text"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, text string")
+    return out.withColumnRenamed("id", id_column)
+
+
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encodes and decodes every text; token count and digests of both."""
-    both = decode(encode(docs, path, id_column, text_column), path, id_column)
-    return both.select(
+    return round_trip(docs, path, id_column, text_column).select(
         id_column,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
