@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, mixing, quality
+from gleaner.llm import bpe, jaccard, mixing, quality
 from gleaner.llm.common import read
 
 
@@ -38,10 +38,15 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixture_raking": op2_mixture_raking,
     "op5_bpe_trie": op5_bpe_trie,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
