@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, jaccard, mixing, quality
-from gleaner.llm.common import read
+from gleaner.llm import bpe, classifier, jaccard, mixing, quality, toxicity
+from gleaner.llm.common import fold, read
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +38,18 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold("doc_id", 5)
+    scored = classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels", "doc_id", "quality"), part != 0, part == 1)
+    return scored.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = read(spark, sf_dir, "documents"), fold("doc_id", 3)
+    network = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), part != 1)
+    return toxicity.score(docs, network).select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -46,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixture_raking": op2_mixture_raking,
     "op5_bpe_trie": op5_bpe_trie,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
