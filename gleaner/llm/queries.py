@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, classifier, jaccard, mixing, quality, toxicity
+from gleaner.llm import bpe, classifier, jaccard, licenses, mixing, quality, toxicity, urls
 from gleaner.llm.common import fold, read
 
 
@@ -34,6 +34,10 @@ def op2_mixture_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"), F.round("p", 6).alias("p"), F.round("residual", 6).alias("residual"), "sampled")
 
 
+def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,6 +54,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, network).select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: The base rules, then the method's own for what they leave open.
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+    *(urls.Rule("block", f"casino-win.example.{top}", "", base=False) for top in ("com", "net", "org")),
+]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -57,13 +76,29 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixture_raking": op2_mixture_raking,
+    "op4_license_join": op4_license_join,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_url_rules": op7_url_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
 }
 
+def url_oracle() -> str:
+    """op7 in DuckDB: every rule against every page."""
+    rules = ", ".join(f"({r.base}, '{r.action}', '{r.host}', '{r.path}')" for r in URL_RULES)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(base, action, h, p) AS (VALUES {rules}),
+m AS (SELECT page_id, base, action, r.h || r.p AS name FROM h JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY base DESC, length(r.h) + length(r.p) DESC, length(r.h) DESC, action DESC) = 1)
+SELECT page_id, host, path, CASE WHEN base THEN name END AS rule, CASE WHEN NOT base THEN name END AS own_rule, coalesce(action, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op2_mixture_raking": mixing.oracle(),
+    "op4_license_join": licenses.oracle(),
+    "op7_url_rules": url_oracle(),
 }
