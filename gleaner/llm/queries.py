@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, classifier, jaccard, licenses, mixing, quality, toxicity, urls
+from gleaner.llm import bpe, classifier, jaccard, jpeg, licenses, mixing, quality, toxicity, urls, warc
 from gleaner.llm.common import fold, read
 
 
@@ -34,6 +34,10 @@ def op2_mixture_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"), F.round("p", 6).alias("p"), F.round("residual", 6).alias("residual"), "sampled")
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
 
@@ -73,17 +77,38 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixture_raking": op2_mixture_raking,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_license_join": op4_license_join,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_url_rules": op7_url_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_warc_normaliser": op10_warc_normaliser,
+    "pipeline": pipeline,
 }
 
+def warc_oracle() -> str:
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM l"""
+
+
 def url_oracle() -> str:
     """op7 in DuckDB: every rule against every page."""
     rules = ", ".join(f"({r.base}, '{r.action}', '{r.host}', '{r.path}')" for r in URL_RULES)
@@ -101,4 +126,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mixture_raking": mixing.oracle(),
     "op4_license_join": licenses.oracle(),
     "op7_url_rules": url_oracle(),
+    "op10_warc_normaliser": warc_oracle(),
 }
