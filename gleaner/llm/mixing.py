@@ -46,15 +46,17 @@ def draw_of(id_column: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / float(2**48)
 
 
-def summed(cells: DataFrame, by: tuple[str, ...], value: Column, name: str, one_task: bool) -> DataFrame:
-    """cells with the sum of value over the rows that share `by`."""
+def summed(cells: DataFrame, by: tuple[str, ...], one_task: bool, **values: Column) -> DataFrame:
+    """cells with sums of values over the rows that share `by`. As a join, the
+    result is written at once: each step reads the one before twice, so plans
+    that wait would double with every step."""
     if one_task:
-        return cells.withColumn(name, F.sum(value).over(Window.partitionBy(*by)))
-    sums = cells.groupBy(*[F.col(c).alias(f"{c}_of") for c in by]).agg(F.sum(value).alias(name))
+        return cells.withColumns({name: F.sum(value).over(Window.partitionBy(*by)) for name, value in values.items()})
+    sums = cells.groupBy(*[F.col(c).alias(f"{c}_of") for c in by]).agg(*[F.sum(value).alias(name) for name, value in values.items()])
     if not by:
-        return cells.crossJoin(F.broadcast(sums))
+        return stage_table(cells.crossJoin(F.broadcast(sums)), "sums")
     match = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]
-    return cells.join(sums, match, "left").drop(*[f"{c}_of" for c in by])
+    return stage_table(cells.join(sums, match, "left").drop(*[f"{c}_of" for c in by]), "sums")
 
 
 def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict = TARGETS, rounds: int = ROUNDS, budget: float = BUDGET, one_task: bool | None = None) -> DataFrame:
@@ -64,9 +66,9 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     if one_task is None:
         one_task = len(cells.select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
     df = cells.coalesce(1) if one_task else cells
-    df = summed(df, (), F.col("tokens"), "all_tokens", one_task)
+    df = summed(df, (), one_task, all_tokens=F.col("tokens"))
     for d in dimensions:
-        df = summed(df, (d,), F.col("tokens"), f"{d}_tokens", one_task)
+        df = summed(df, (d,), one_task, **{f"{d}_tokens": F.col("tokens")})
         share = F.col(f"{d}_tokens") / F.col("all_tokens")
         goal = targets[d]
         if isinstance(goal, dict):
@@ -76,12 +78,12 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
             share = F.pow(share, F.lit(float(goal)))
         # each value's weight, spread over its cells by their tokens
         df = df.withColumn(f"{d}_goal", share)
-        df = summed(df, (), F.col(f"{d}_goal") * F.col("tokens") / F.col(f"{d}_tokens"), "goals", one_task)
+        df = summed(df, (), one_task, goals=F.col(f"{d}_goal") * F.col("tokens") / F.col(f"{d}_tokens"))
         df = df.withColumn(f"{d}_goal", F.col(f"{d}_goal") / F.col("goals")).drop("goals", f"{d}_tokens")
     df = df.withColumn("weight", F.col("tokens") / F.col("all_tokens"))
     for step in range(rounds):
         for d in dimensions:
-            df = summed(df, (d,), F.col("weight"), "now", one_task).withColumn("weight", F.col("weight") * F.col(f"{d}_goal") / F.col("now")).drop("now")
+            df = summed(df, (d,), one_task, now=F.col("weight")).withColumn("weight", F.col("weight") * F.col(f"{d}_goal") / F.col("now")).drop("now")
         if step % 4 == 3:
             df = stage_table(df, "rake")
             df = df.coalesce(1) if one_task else df
@@ -89,8 +91,7 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     df = df.withColumn("each", F.col("weight") / F.col("tokens")).withColumn("scale", wanted)
     for _ in range(FILLS):
         certain = F.col("each") * F.col("scale") >= 1
-        df = summed(df, (), F.when(certain, F.col("tokens")).otherwise(0), "sure", one_task)
-        df = summed(df, (), F.when(certain, F.lit(0.0)).otherwise(F.col("weight")), "open", one_task)
+        df = summed(df, (), one_task, sure=F.when(certain, F.col("tokens")).otherwise(0), open=F.when(certain, F.lit(0.0)).otherwise(F.col("weight")))
         df = df.withColumn("scale", F.when(F.col("open") > 0, F.greatest(F.col("scale"), (wanted - F.col("sure")) / F.col("open"))).otherwise(F.col("scale"))).drop("sure", "open")
     return df.select(*dimensions, "tokens", "weight", "each", F.least(F.lit(1.0), F.col("each") * F.col("scale")).alias("p"), F.greatest(F.lit(1.0), F.col("each") * F.col("scale")).alias("residual"))
 
@@ -138,7 +139,7 @@ w_0 AS (SELECT source, lang, topic, tokens, {", ".join(f"{d}_g / sum({d}_g * {d}
     for i in range(1, FILLS + 1):
         sql += f",\ns_{i} AS MATERIALIZED (SELECT * REPLACE (greatest(scale, coalesce((wanted - sum(CASE WHEN each * scale >= 1 THEN tokens ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN each * scale >= 1 THEN 0 ELSE weight END) OVER (), 0), scale)) AS scale) FROM s_{i - 1})"
     return sql + f"""
-SELECT doc_id, r.source, r.lang, r.topic, n_tokens, round(1e6 * coalesce(each * n_tokens, 0), 6) AS weight_ppm, round(coalesce(least(1, each * scale), 0), 6) AS p,
+SELECT doc_id, r.source, r.lang, r.topic, n_tokens, round(1e6 * coalesce(each * n_tokens, 0), 6) AS weight_ppm, round(CASE WHEN each IS NULL THEN 0 ELSE least(1, each * scale) END, 6) AS p,
   round(coalesce(greatest(1, each * scale), 1), 6) AS residual,
-  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / pow(2, 48) < coalesce(least(1, each * scale), 0) AS sampled
+  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / pow(2, 48) < CASE WHEN each IS NULL THEN 0 ELSE least(1, each * scale) END AS sampled
 FROM r LEFT JOIN s_{FILLS} s ON r.source IS NOT DISTINCT FROM s.source AND r.lang IS NOT DISTINCT FROM s.lang AND r.topic = s.topic AND n_tokens > 0"""
