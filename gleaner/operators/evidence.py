@@ -26,7 +26,7 @@ def gate(contexts: DataFrame, questions: DataFrame, use_reranker: bool = True) -
         F.max("rerank_score").alias("rerank"),
     )
     positive = lambda c: F.greatest(F.lit(0.0), c)
-    gap = F.coalesce(positive(F.col("top1") - F.col("top2")), F.col("top1"))
+    gap = F.when(F.col("top2").isNull(), F.col("top1")).otherwise(positive(F.col("top1") - F.col("top2")))
     sure = 0.55 * F.col("top1") + 0.25 * F.least(F.lit(1.0), 1.8 * positive(F.col("top1") - F.col("upward"))) + 0.20 * F.least(F.lit(1.0), 2.2 * gap)
     sure = F.round(F.least(F.lit(1.0), positive(sure)), SCALE)
     margin, second = positive(F.col("top1") - F.col("downward")), positive(F.col("top1") - F.coalesce("top2", F.lit(0.0)))

@@ -6,6 +6,7 @@ under one path. Questions are answered in batches: one lazy plan for all of them
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -82,21 +83,22 @@ class Engine:
         bucket = F.pmod(F.xxhash64("document_id"), F.lit(64))
         touched = documents.select("document_id", bucket.alias("b"))
         kept = old.join(touched.select("document_id"), "document_id", "left_anti").withColumn("b", bucket).join(touched.select("b").distinct(), "b", "left_semi").drop("b")
-        # partitions are replaced while they are read: settle the rows first
-        rows = kept.unionByName(new).checkpoint() if self.spark.sparkContext.getCheckpointDir() else kept.unionByName(new).persist()
-        rows.count()
-        files.write(rows, path)
+        files.write(self._settled(name, kept.unionByName(new)), path)
+
+    def _settled(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written beside the tables: a table can't be replaced while it
+        is read, and what is written survives lost executors."""
+        path = f"{self.store}/_next/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def remove(self, paths: DataFrame) -> None:
         """Deletes documents (source_path) with all that belongs to them."""
-        gone = self.table("documents").join(paths.select("source_path").distinct(), "source_path", "left_semi").select("document_id").persist()
-        gone.count()
+        gone = self.table("documents").join(paths.select("source_path").distinct(), "source_path", "left_semi").select("document_id")
+        gone = self._settled("gone", gone)
         for name in ("embeddings", "map", "parents", "chunks", "documents"):
-            rows = relational.delete(self.table(name).drop("bucket"), gone, "document_id").persist()
-            rows.count()
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-            rows.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(64)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.store}/{name}")
-            rows.unpersist()
+            rows = self._settled(name, relational.delete(self.table(name), gone, "document_id"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.store}/{name}")
 
     def list_documents(self) -> DataFrame:
         return relational.listing(self.table("documents").drop("bucket"), self.table("chunks"))

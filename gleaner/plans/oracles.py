@@ -153,7 +153,7 @@ ctx AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 HYBRID = ",\n".join([CHUNKS, INDEX, SPARSE, DENSE, fuse(), SCORED])
 GATE = """ga AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS r, least(5, count(*) OVER (PARTITION BY query_id)) AS n FROM ctx),
 gb AS (SELECT query_id, max(final_score) FILTER (r = 1) AS t1, max(final_score) FILTER (r = 2) AS t2, max(final_score) FILTER (r = n - n // 2) AS up, max(final_score) FILTER (r = n // 2 + 1) AS down, max(rerank_score) AS rerank FROM ga GROUP BY query_id),
-gc AS (SELECT *, round(least(1, greatest(0, 0.55 * t1 + 0.25 * least(1, 1.8 * greatest(0, t1 - up)) + 0.20 * least(1, 2.2 * coalesce(greatest(0, t1 - t2), t1)))), 9) AS confidence FROM gb),
+gc AS (SELECT *, round(least(1, greatest(0, 0.55 * t1 + 0.25 * least(1, 1.8 * greatest(0, t1 - up)) + 0.20 * least(1, 2.2 * CASE WHEN t2 IS NULL THEN t1 ELSE greatest(0, t1 - t2) END))), 9) AS confidence FROM gb),
 gate AS (SELECT item_id AS query_id, coalesce(confidence, 0) AS confidence, coalesce(confidence < 0.46 OR round(greatest(0, t1 - down), 9) < 0.06 OR round(greatest(0, t1 - coalesce(t2, 0)), 9) < 0.04 OR rerank < 0.34, true) AS needs_clarification
   FROM benchmark LEFT JOIN gc ON query_id = item_id)"""
 BUDGET = f"""ba AS (SELECT * EXCLUDE (place), {token_count("content")} AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS place FROM ctx),
