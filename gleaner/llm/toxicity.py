@@ -34,11 +34,11 @@ from gleaner.llm.common import pieces, texts_of
 LENGTH, STRIDE = 64, 48
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 20_000
 WORD_BUCKETS, RUN_BUCKETS, WIDTH, HIDDEN = 1 << 14, 1 << 16, 8, 8
-STEPS, BATCH, RATE = 400, 64, 0.01
-#: Times that training may meet each toxic text, and the share of words it hides.
-PASSES, HIDDEN_WORDS = 100, 0.15
+STEPS, BATCH, RATE = 600, 64, 0.01
+#: Times that training may meet each toxic text, and after which shares of the steps the worst windows are sought anew.
+PASSES, MINED = 100, (0.1, 0.25, 0.5, 0.75)
 #: Training texts in which a bucket must occur to have a vector; damps the steps of buckets with small gradients.
-MET, DAMPING = 4, 3e-3
+MET, DAMPING = 4, 1e-4
 #: Distinct words whose network inputs a worker remembers before it starts anew.
 WORDS_KEPT = 400_000
 _WORDS = re.compile(r"\w+").findall
@@ -252,12 +252,12 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     network, rng = Network.start(seed), np.random.default_rng(seed)
     for table, often in zip((network.words, network.runs), common(texts), strict=True):
         table[~often] = 0
-    cut = [_WORDS(t.lower()) for t in texts]
-    vocabulary = list(dict.fromkeys(w for c in cut for w in c))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    rows = np.array([place[w] for c in cut for w in c] + [len(place)])
-    at, count = windows_of(np.array([len(c) for c in cut]), len(rows) - 1)
-    at = rows[at]
+    place: dict[str, int] = {}
+    each = [np.array([place.setdefault(w, len(place)) for w in _WORDS(t.lower())], np.int32) for t in texts]
+    vocabulary = list(place)
+    at, count = windows_of(np.array([len(x) for x in each]), sum(map(len, each)))
+    at = np.concatenate([*each, np.array([len(place)], np.int32)])[at]
+    del place, each
     begin = np.cumsum(count) - count
     groups = [np.flatnonzero((labels == y) & (count > 0)) for y in (0, 1)]
     if not all(map(len, groups)):
@@ -267,8 +267,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     first = {n: np.zeros_like(getattr(network, n)) for n in names}
     second = {n: np.zeros_like(getattr(network, n)) for n in names}
     steps = min(steps, max(60, int(PASSES * len(groups[1]) / (BATCH // 3))))
+    marks = {int(steps * share) for share in MINED}
     for step in range(1, steps + 1):
-        if step in (steps // 4, steps // 2, 3 * steps // 4):  # each text's worst window by the network as it is
+        if step in marks:  # each text's worst window by the network as it is
             logits = network.logits_of(vocabulary, at)
             worst = np.array([b + int(logits[b : b + n].argmax()) if n else 0 for b, n in zip(begin, count, strict=True)])
         pick = np.concatenate([rng.choice(groups[1], BATCH // 3), rng.choice(groups[0], BATCH - BATCH // 3)])
@@ -277,7 +278,6 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         own, local = np.unique(at[chosen], return_inverse=True)
         words = [vocabulary[i] for i in own if i < len(vocabulary)]
         local = np.minimum(local.reshape(len(pick), LENGTH), len(words))
-        local[(rng.random(local.shape) < HIDDEN_WORDS) & (np.arange(LENGTH) > 0)] = len(words)
         x, parts = network.inputs(words)
         table, keep = network.project(x), []
         logits = network.read(table, local, len(words), keep)
