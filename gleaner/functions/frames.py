@@ -14,6 +14,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in too few pieces for them (a file of one
+    row group); what has enough pieces isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top(df: DataFrame, k: int, score: str, by: tuple[str, ...] = ("query_id",), tie: str = "chunk_id", rank: str | None = None) -> DataFrame:
     """The k best rows of each group, ties by id. The planner limits each task to
     k rows of a group before anything is shuffled."""

@@ -115,7 +115,7 @@ def strip_diacritics(c: Column | str) -> Column:
 
 def normalize_whitespace(c: Column | str) -> Column:
     """T2"""
-    return strip(sub(sub(F.translate(col(c), "\u00a0", " "), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(sub(sub(F.translate(col(c), "\u00a0", " "), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def casefold(c: Column | str) -> Column:

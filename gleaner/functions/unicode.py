@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 
 
 def bare(text: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+    apart = unicodedata.normalize("NFKD", text)
+    return apart if apart.isascii() else "".join(ch for ch in apart if not unicodedata.combining(ch))
 
 
 @F.pandas_udf(StringType())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions import text as T
+from gleaner.functions.frames import spread
 from gleaner.operators import chunking, dense, embed, evidence, fusion, relational, sections, sparse
 
 
@@ -23,7 +24,7 @@ class Tables:
 
     @property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread(self.read("documents"))
 
     @property
     def chunks(self) -> DataFrame:
