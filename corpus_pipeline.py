@@ -5,9 +5,10 @@ its decisions take effect: rules reject, the toxic go, one document of each
 group of near duplicates stays, sources are mixed by sampling, and what remains
 is encoded (the last stage returns digests of ids and decoded texts).
 
-Null texts and those under 20 words go in the first stage. Rows with a null id
-pass the stages that tell rows apart by id. Where rows share an id, the stages
-that decide by id decide once for all of them.
+Null texts and those under 20 words go in the first stage. Every stage judges
+rows, not ids: a row is known by a digest of all its columns, so that rows with a
+null id or an id that others have too are judged like any other. Of rows that
+repeat in every column, near_duplicates leaves one.
 """
 
 from __future__ import annotations
@@ -24,29 +25,50 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC, BUDGET = 0.7, 0.8
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in ids (doc_id)."""
-    gone = small(stage_table(ids.distinct(), "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a digest of all columns (a null differs from any value)."""
+    digest = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-"))
+    return docs.select(*COLUMNS, F.unhex(F.md5(F.concat_ws(",", *map(digest, COLUMNS)).cast("binary"))).alias("row_key"))
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (of keyed) but for those whose row_key is in keys (row_key)."""
+    gone = small(stage_table(keys.distinct(), "gone"))
+    return rows.join(gone, "row_key", "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs, read(spark, sf_dir, "labels"))
-    return without(docs.filter(F.col("doc_id").isNotNull()), judged.filter(~F.col("kept")).select("doc_id"))
+    rows = keyed(docs)
+    judged = quality.judge(rows, read(spark, sf_dir, "labels"), keep=("row_key",))
+    return without(rows, judged.filter(~F.col("kept")).select("row_key")).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), F.lit(True))
-    return without(docs, toxicity.score(docs, network).filter(F.col("score") >= TOXIC).select("doc_id"))
+    rows = keyed(docs)
+    return without(rows, toxicity.score(rows, network, "row_key").filter(F.col("score") >= TOXIC).select("row_key")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.join(docs)
-    return without(docs, classes.filter("class_id != doc_id").select("doc_id"))
+    # the row of the smallest id stays, of a null id only where a class has no other
+    rows = keyed(docs)
+    placed = rows.withColumn("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    classes = jaccard.join(placed, "row").select("row.row_key", (F.col("class_id.row_key") == F.col("row.row_key")).alias("stays"), "copies")
+    classes = stage_table(classes, "verdicts")
+    left = without(rows, classes.filter(~F.col("stays")).select("row_key"))
+    again = stage_table(classes.filter("stays AND copies > 1").groupBy("row_key").count().filter("count > 1").select("row_key"), "again")
+    once = left.join(small(again), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return left.join(small(again), "row_key", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, mixing.mix(docs, budget=BUDGET).filter(~F.col("sampled")).select("doc_id"))
+    # rows are drawn by their id, but by their key where it is null or others have it too
+    rows = keyed(docs)
+    shared = small(stage_table(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared_id")), "shared"))
+    told = rows.join(shared, F.col("doc_id") == F.col("shared_id"), "left")
+    told = told.withColumn("draw_id", F.when(F.col("doc_id").isNull() | F.col("shared_id").isNotNull(), F.hex("row_key")).otherwise(F.col("doc_id").cast("string")))
+    mixed = mixing.mix(told, "draw_id", budget=BUDGET, keep=("row_key",))
+    return without(rows, mixed.filter(~F.col("sampled")).select("row_key")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,20 +96,21 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     return df.select(*dimensions, "tokens", "weight", "each", F.least(F.lit(1.0), F.col("each") * F.col("scale")).alias("p"), F.greatest(F.lit(1.0), F.col("each") * F.col("scale")).alias("residual"))
 
 
-def counted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def counted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(id_column, "source", "lang", topic_of(text).alias("topic"), F.size(words_of(F.col(text_column))).cast("long").alias("n_tokens"))
+    return docs.select(id_column, *keep, "source", "lang", topic_of(text).alias("topic"), F.size(words_of(F.col(text_column))).cast("long").alias("n_tokens"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """Every document with its cell, token weight, chance and draw."""
-    rows = stage_table(counted(docs, id_column, text_column), "mix")
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict = TARGETS, budget: float = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document (with the columns keep) with its cell, token weight, chance
+    and draw."""
+    rows = stage_table(counted(docs, id_column, text_column, keep), "mix")
     cells = stage_table(rows.filter("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = small(stage_table(rake(cells, targets=targets, budget=budget), "raked")).select(*[F.col(d).alias(f"{d}_of") for d in DIMENSIONS], "each", "p", "residual")
     out = rows.join(raked, [F.col(d).eqNullSafe(F.col(f"{d}_of")) for d in DIMENSIONS] + [F.col("n_tokens") > 0], "left")
     p = F.coalesce("p", F.lit(0.0))
     return out.select(
-        id_column, *DIMENSIONS, "n_tokens",
+        id_column, *keep, *DIMENSIONS, "n_tokens",
         F.coalesce(F.col("each") * F.col("n_tokens"), F.lit(0.0)).alias("weight"), p.alias("p"), F.coalesce("residual", F.lit(1.0)).alias("residual"),
         (draw_of(id_column) < p).alias("sampled"),
     )

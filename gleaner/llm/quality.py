@@ -126,10 +126,10 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in LADDERS])
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs' measures with kept: what passes the base and every certified rule
-    of its stratum."""
-    measured = stage_table(measures(docs, id_column, text_column, stratum), "quality")
+def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs' measures (and the columns keep) with kept: what passes the base and
+    every certified rule of its stratum."""
+    measured = stage_table(measures(docs, id_column, text_column, stratum, keep), "quality")
     cuts = stage_table(thresholds(measured, labels, id_column), "quality-cuts").withColumnRenamed("stratum", "cut_stratum")
     judged = measured.join(small(cuts), F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
     passes = reduce(lambda a, rule: a & F.coalesce(F.col(rule) <= F.col(f"cut_{rule}"), F.lit(True)), LADDERS, F.lit(True))

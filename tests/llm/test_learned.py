@@ -165,3 +165,33 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert steps[3].keys() == drawn and 0.5 < len(drawn) / len(steps[2]) <= 1
     library = Tokenizer.from_file(tokenizer_path())
     assert {d: r.n_tokens for d, r in steps[4].items()} == {d: len(library.encode(first[d], add_special_tokens=False).ids) for d in drawn}
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path, network, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(11)
+    fresh = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    stage = lambda name, rows: dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(3), str(tmp_path))
+    kept = lambda name, rows: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in stage(name, rows).collect())
+    want = lambda *rows: sorted((i is None, i or 0, t) for i, t in rows)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    a, b, c, d = (fresh() for _ in range(4))
+    rows = [(None, a), (None, "too short"), (None, None), (1, b), (1, "too short"), (2, c), (2, c)]
+    assert kept("quality_rules", rows) == want((None, a), (1, b), (2, c), (2, c))
+
+    monkeypatch.setattr(toxicity, "fit", lambda *_: network)
+    texts, labels = zip(*corpus(40, 12), strict=True)
+    found = toxicity.Scorer(network).scores(list(texts)) >= 0.7
+    bad, good = ([t for t, f in zip(texts, found, strict=True) if f is np.bool_(x)] for x in (True, False))
+    assert kept("toxicity", [(1, bad[0]), (1, good[0]), (None, bad[1]), (None, good[1])]) == want((1, good[0]), (None, good[1]))
+
+    near = f"{a} other"
+    rows = [(7, a), (7, a), (7, b), (None, near), (None, c), (None, c), (8, near), (9, d), (9, f"{d} other")]
+    out = kept("ngram_jaccard", rows)
+    assert [x for x in out if x[2] not in (d, f"{d} other")] == want((7, a), (7, b), (None, c))
+    assert sum(x[2] in (d, f"{d} other") for x in out) == 1
+
+    for ids in (None, 5):
+        drawn = stage("mixing", [(ids, fresh()) for _ in range(200)]).count()
+        assert 120 < drawn < 195
