@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from gleaner.functions.frames import small, top
 
 SCALE, SEED = 6, 42
-#: Query vectors that are sent to every task at once.
-MOST_QUERIES = 10_000
+#: Query vectors that are sent to every task at once; more are asked in blocks. Scores that a task holds at once.
+MOST_QUERIES, MOST_SCORES = 10_000, 4_000_000
 
 
 def normalised(vector):
@@ -34,23 +35,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def exact(queries: DataFrame, vectors: DataFrame, k: int = 48) -> DataFrame:
     """(query_id, chunk_id, score) by inner product of unit vectors, over
-    every vector. Each batch is one matrix product and leaves k rows for each
-    query; the final ranking sees those only."""
-    asked = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).toArrow()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} query vectors at once")
+    every vector. Each batch is multiplied with the queries, MOST_SCORES scores
+    at a time, and leaves k rows for each query; the final ranking sees those
+    only. Each block of MOST_QUERIES queries reads the vectors once."""
+    asked = queries.select("query_id", "vector").toArrow()
+    blocks = [_best(asked.slice(at, MOST_QUERIES), vectors, k) for at in range(0, max(1, len(asked)), MOST_QUERIES)]
+    return top(reduce(DataFrame.union, blocks), k, "score")
+
+
+def _best(asked: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each batch of vectors for each of these queries."""
     names, matrix = asked.column("query_id").to_numpy(), _matrix(asked.column("vector").combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch) or not len(names):
                 continue
-            ids = batch.column("chunk_id").to_numpy()
-            found = np.round(np.clip(_matrix(batch.column("vector")) @ matrix.T, -1, 1), SCALE)
-            best = np.lexsort((np.broadcast_to(ids[:, None], found.shape), -found), axis=0)[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(best))), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(found, best, axis=0).ravel())], ["query_id", "chunk_id", "score"])
-
-    return top(vectors.select("chunk_id", "vector").mapInArrow(run, "query_id long, chunk_id long, score double"), k, "score")
+            ids, rows = batch.column("chunk_id").to_numpy(), _matrix(batch.column("vector"))
+            step = max(1, MOST_SCORES // len(ids))
+            for at in range(0, len(names), step):
+                found = np.round(np.clip(rows @ matrix[at : at + step].T, -1, 1), SCALE)
+                best = np.lexsort((np.broadcast_to(ids[:, None], found.shape), -found), axis=0)[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names[at : at + step], len(best))), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(found, best, axis=0).ravel())], ["query_id", "chunk_id", "score"])
+
+    return vectors.select("chunk_id", "vector").mapInArrow(run, "query_id long, chunk_id long, score double")
 
 
 def merged(hits: DataFrame, k: int | None = None) -> DataFrame:

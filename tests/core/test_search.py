@@ -82,6 +82,18 @@ def test_lsh_is_exact_when_all_are_candidates(spark):
     assert dense.exact(asked.limit(0), vectors, 5).count() == 0
 
 
+def test_exact_asks_any_number_of_queries_in_blocks(spark, monkeypatch):
+    v = np.random.default_rng(1).normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<double>").repartition(3)
+    monkeypatch.setattr(dense, "MOST_QUERIES", 7)
+    monkeypatch.setattr(dense, "MOST_SCORES", 50)
+    asked = vectors.filter("chunk_id < 30").withColumnRenamed("chunk_id", "query_id")
+    scores = np.round(v[:30] @ v.T, dense.SCALE)
+    want = {(q, int(c)) for q in range(30) for c in np.lexsort((np.arange(60), -scores[q]))[:5]}
+    assert {(r.query_id, r.chunk_id) for r in dense.exact(asked, vectors, 5).collect()} == want
+
+
 def test_settings():
     s = Settings.from_env({"GLEANER_TOP_K": "0", "GLEANER_USE_HYBRID": "no", "GLEANER_CHILD_MAX": "x", "GLEANER_LOW_MARGIN": "7"})
     assert (s.top_k, s.use_hybrid, s.child_max, s.low_margin, s.wanted) == (1, False, 700, 1.0, 10)
