@@ -88,6 +88,25 @@ def test_raking_meets_targets_and_budget(spark):
     assert all(r.p == 1 for r in everything)
 
 
+def test_raking_goes_on_until_the_targets_hold(spark):
+    # sources that are almost monolingual, one of them hot
+    rows = [(f"s{s}", f"l{k}", t, (100 if s else 10_000) * (2997 if s % 4 == k else 1)) for s in range(6) for k in range(4) for t in ("prose", "legal")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    goals = {"source": 0.5, "lang": {"l0": 0.4, "l1": 0.2, "l2": 0.2, "l3": 0.2}, "topic": 0.7}
+    out = mixing.rake(cells, targets=goals, budget=0.9).collect()
+    total = sum(r[3] for r in rows)
+    roots = {s: math.sqrt(sum(r[3] for r in rows if r[0] == s) / total) for s in {r[0] for r in rows}}
+    for s, root in roots.items():
+        assert sum(r.weight for r in out if r.source == s) == pytest.approx(root / sum(roots.values()), rel=2e-4)
+    for k, share in goals["lang"].items():
+        assert sum(r.weight for r in out if r.lang == k) == pytest.approx(share, rel=2e-4)
+    assert sum(r.tokens * r.p for r in out) == pytest.approx(0.9 * total, rel=1e-5)
+    # targets that no weights meet are reported
+    lone = spark.createDataFrame([("a", "l0", "prose", 900), ("b", "l1", "prose", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="target is missed"):
+        mixing.rake(lone, targets=goals).collect()
+
+
 def test_mix_odd_rows(spark):
     rows = [(i, t, "en" if i % 2 else None, None) for i, t in enumerate(ODD)] + [(None, "x y z", "en", "s"), (4, ODD[4], "en", None)]
     out = mixing.mix(documents(spark, rows, "topic string, tokens string, p string, each string"), budget=0.5).collect()
