@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import pieces, texts_of
 
-LENGTH, STRIDE = 64, 48
+LENGTH, STRIDE = 64, 32
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 20_000
 WORD_BUCKETS, RUN_BUCKETS, WIDTH, HIDDEN = 1 << 14, 1 << 16, 8, 8
 STEPS, BATCH, RATE = 600, 64, 0.01

@@ -78,6 +78,12 @@ def test_windows_overlap_and_reach_the_end(n):
     assert all(b - a == toxicity.STRIDE < toxicity.LENGTH for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_half_a_window_lies_whole_in_some_window():
+    at, count = toxicity.windows_of(np.array([300]), 300)
+    passages = [range(b, b + toxicity.LENGTH // 2) for b in range(300 - toxicity.LENGTH // 2 + 1)]
+    assert all(any(set(p) <= set(w) for w in at) for p in passages)
+
+
 def test_learns_and_finds_a_word_anywhere(network):
     texts, labels = zip(*corpus(120, 2), strict=True)
     found = toxicity.Scorer(network).scores(list(texts)) >= 0.7
