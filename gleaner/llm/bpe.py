@@ -56,6 +56,7 @@ class TrieBpe:
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         self.bytes: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.ids = {b: i for i, b in self.bytes.items()}
+        self.longest = max(map(len, self.ids))
         self.pairs: dict[tuple[int, int], int] = {}
         self.rank = dict.fromkeys(self.bytes, -1)
         self.halves: dict[int, tuple[int, int]] = {}
@@ -106,7 +107,7 @@ class TrieBpe:
         """Encodes words that aren't known yet. The trie is held as its words
         in sorted order: a depth-first walk meets them in that order, and what a
         word shares with the one before it is the path that stays on the stack."""
-        ids, joins, clean, known = self.ids, self.joins, self.clean, self.known
+        ids, joins, clean, known, longest = self.ids, self.joins, self.clean, self.known, self.longest
         last: list[int] = []
         sizes: list[int] = []
         before = b""
@@ -117,10 +118,11 @@ class TrieBpe:
             del last[shared:]
             del sizes[shared:]
             for end in range(shared + 1, len(word) + 1):
-                # exactly one token fits; the one that grows the last token and
-                # the one that starts anew are the likeliest
+                # exactly one token fits, none longer than the vocabulary's longest;
+                # the one that grows the last token and the one that starts anew
+                # are the likeliest
                 grown = end - 1 - sizes[-1] if sizes else 0
-                for start in chain((grown, end - 1), range(grown - 1, -1, -1), range(end - 2, grown, -1)):
+                for start in chain((grown, end - 1), range(grown - 1, max(0, end - longest) - 1, -1), range(end - 2, grown, -1)):
                     token = ids.get(word[start:end])
                     if token is None:
                         continue

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 from gleaner.llm import bpe
@@ -31,6 +33,16 @@ def test_odd_texts(text):
     assert ids_of(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "abcABCxyzXYZ", "a"])
+def test_long_unbroken_words_take_time_in_proportion(letters):
+    rng = random.Random(3)
+    text = "".join(rng.choice(letters) for _ in range(100_000))
+    began = time.perf_counter()
+    found = ids_of(text)
+    assert time.perf_counter() - began < 10
+    assert found == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_query_digests(spark):
     rows = [(1, "Hello world", "x"), (1, "Hello world", "x"), (None, None, "y"), (2, "", "z"), (3, "é" * 9000 + " tail", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
