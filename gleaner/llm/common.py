@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that a side may have before it is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 50_000
 
+#: Rows of one key that a task of a join may meet before the key is dealt over several.
+HOT_ROWS = 256
+
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -23,20 +27,75 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else
-    (a session that names none) the warehouse, which every table write uses."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a
+    local session may name none; it takes its warehouse."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
+class Scratch:
+    """Stage tables written while it is open; release() deletes those that
+    nothing will read any more."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def release(self, *kept: DataFrame) -> None:
+        paths = {df.stage_path for df in kept}
+        discard(*(df for df in self.made if df.stage_path not in paths))
+        self.made = list(kept)
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    found = Scratch()
+    _OPEN.append(found)
+    try:
+        yield found
+    finally:
+        _OPEN.remove(found)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stage tables."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once into the shared folder and rereads it: cuts lineage and
     survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    for found in _OPEN:
+        found.made.append(out)
+    return out
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, deal: Column, total: int) -> DataFrame:
+    """rows joined to table on key. table has one row for each key and in size
+    (which goes) how many rows may have it, total being at least their sum. The
+    rows of a key of more than HOT_ROWS are dealt over several tasks by the
+    number `deal`, each with a copy of the key's row. There are at most
+    BROADCAST_ROWS such keys, as their size rises with the total."""
+    most = max(HOT_ROWS, total // BROADCAST_ROWS)
+    ways = F.ceil(F.col("size") / most).cast("int")
+    hot = table.filter(F.col("size") > most).select(F.col(key).alias("_hot"), ways.alias("_ways"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_way", F.coalesce(F.pmod(deal, F.col("_ways")), F.lit(0)).cast("int")).drop("_hot", "_ways")
+    shown = table.withColumn("_way", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), ways) - 1))).drop("size")
+    return dealt.join(shown, [key, "_way"]).drop("_way")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,12 +4,17 @@ A text's set holds its runs of five lower-case words (its whole word sequence,
 if shorter). Texts that are equal byte for byte are one node from the start.
 Each node gets MinHash values in bands; the number of bands and of rows in a
 band is worked out from the wanted recall at the threshold. Nodes that share a
-band are candidates. Candidates are brought together by the connected component
-of "shares a band with", large components in blocks, and every candidate pair is
-verified on its full sets there: its intersection is counted, not estimated.
-A block returns one row for each node (its links and the root of its class), not
-one for each pair, so groups of thousands of near copies stay linear in what is
-stored; no pair is dropped or capped.
+band's bucket are candidates, and each pair of them is verified once on its full
+sets: the intersection is counted, not estimated.
+
+Candidates are dealt into blocks of bounded size in the order of the component
+of "shares a bucket with", so that most buckets lie whole in one block. Where a
+bucket spans several blocks, only its own nodes are sent to each pair of those
+blocks; a long chain of components therefore costs what its buckets cost, not
+its square. A block returns one row for each node (its links and the root of its
+class), not one for each pair, so groups of thousands of near copies stay linear
+in what is stored; no pair is dropped or capped. Joins on buckets, centres and
+texts that many rows share deal those rows over several tasks.
 
 Defined results: a class is a connected component of links; class_id is its
 smallest document id; n_links counts the other rows that are equal to the
@@ -26,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import list_array, pieces, small, stage_table, texts_of
+from gleaner.llm.common import list_array, meet, pieces, scratch, small, stage_table, texts_of
 from gleaner.llm.graphs import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-#: Nodes and set members of a block; a larger component takes several blocks.
-BLOCK_NODES, BLOCK_MEMBERS = 2000, 2_000_000
+#: Nodes and set members at which a block of candidates is full.
+BLOCK_NODES, BLOCK_MEMBERS = 1000, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,12 +147,19 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """Adds grams (each row's set, sorted) in place of text."""
+    """Adds grams (each row's set, sorted) in place of text. Of the rows of one
+    key, which have one text, each task gives the first."""
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of = Grams(words)
+        grams_of, seen = Grams(words), set()
         for batch in batches:
+            first = []
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    first.append(i)
+            batch = batch.take(pa.array(first, pa.int64()))
             texts = texts_of(batch, "text")
             for start, end in pieces(texts, 1_000_000):
                 grams, sizes = grams_of(texts[start:end])
@@ -158,6 +171,27 @@ def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, grams array<long>")
 
 
+def blocked(nodes: DataFrame) -> DataFrame:
+    """Adds block: nodes (key, n, bands, comp, ...) in the order of component and
+    first band, cut whenever a block is full."""
+    names = nodes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, count, members = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for n in batch.column("n").to_pylist():
+                if count and (count >= BLOCK_NODES or members + n > BLOCK_MEMBERS):
+                    block, count, members = block + 1, 0, 0
+                out.append(block)
+                count, members = count + 1, members + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "block"])
+
+    order = ["comp", F.get("bands", F.lit(0)), "key"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    return nodes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{schema}, block long")
+
+
 def shared(lists: tuple[np.ndarray, np.ndarray], n: int, width: int, pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[np.ndarray]:
     """For each (node, partners), how many members the node has in common with
     each partner. lists: members of all nodes and where each node's begin."""
@@ -181,14 +215,14 @@ def shared(lists: tuple[np.ndarray, np.ndarray], n: int, width: int, pairs: Iter
 
 
 def verify(table: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
-    """Links within a block, or between its two sides, as one row for each
-    linked node: (key, root: the smallest key it is joined to, links)."""
+    """Links within a block, or between two blocks, as one row for each linked
+    node: (key, root: the smallest key it is joined to, links)."""
     keys = table.column("key").to_pylist()
     order = sorted(dict(zip(keys, range(len(keys)), strict=True)).items())
     rows = np.array([i for _, i in order])
     keys = [k for k, _ in order]
     n = len(keys)
-    part, copies = (table.column(c).to_numpy()[rows] for c in ("part", "copies"))
+    block, copies = (table.column(c).to_numpy()[rows] for c in ("block", "copies"))
     lists = table.column("bands").combine_chunks()
     bands = lists.flatten().to_numpy().reshape(len(table), -1)[rows]
     grams = table.column("grams").combine_chunks()
@@ -201,14 +235,14 @@ def verify(table: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
     near = np.zeros((n, n), bool)
     for column in bands.T:
         by = np.argsort(column, kind="stable")
-        edges = np.flatnonzero(np.diff(column[by])) + 1
-        for group in np.split(by, edges):
-            if len(group) > 1:
-                near[np.ix_(group, group)] = True
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(column[by])) + 1, [n]])
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            group = by[edges[k] : edges[k + 1]]
+            near[np.ix_(group, group)] = True
     near &= np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes) - 1e-9
     near = np.triu(near, 1)
     if table.column("i")[0].as_py() != table.column("j")[0].as_py():
-        near &= part[:, None] != part[None, :]
+        near &= block[:, None] != block[None, :]
 
     links, root = np.zeros(n, np.int64), np.arange(n)
     todo = np.flatnonzero(near.any(axis=1))
@@ -235,38 +269,51 @@ def verify(table: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each of docs: (id, class_id, n_links, copies)."""
-    marks = stage_table(signatures(docs, id_column, text_column, words, threshold, recall), "marks")
-    nodes = stage_table(marks.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "nodes")
-
-    # candidates: a star in each band's bucket, then their components
+    with scratch() as made:
+        marks = stage_table(signatures(docs, id_column, text_column, words, threshold, recall), "marks")
+        nodes = stage_table(marks.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "nodes")
+        found = stage_table(_links(docs, nodes, id_column, text_column, words, threshold), "links")
+
+        links = found.groupBy(F.col("key").alias("link_key")).agg(F.sum("links").alias("links"))
+        classes = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
+        whole = nodes.select("key", "rep", "copies").join(classes, F.col("key") == F.col("node"), "left").join(links, F.col("key") == F.col("link_key"), "left")
+        whole = stage_table(whole.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+        ids = stage_table(whole.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("size")), "class-ids")
+        rows, distinct = whole.agg(F.sum("copies"), F.count(F.lit(1))).first()
+        named = meet(whole, ids, "root", F.xxhash64("key"), distinct).select("key", "class_id", "copies", "links", F.col("copies").alias("size"))
+        named = stage_table(named, "named")
+        made.release(marks, named)
+
+    out = meet(marks.filter("n > 0").select("id", "key"), named, "key", F.monotonically_increasing_id(), rows or 0)
+    out = out.select("id", "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "copies")
+    alone = marks.filter("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    return out.unionByName(alone).withColumnRenamed("id", id_column)
+
+
+def _links(docs: DataFrame, nodes: DataFrame, id_column: str, text_column: str, words: int, threshold: float) -> DataFrame:
+    """(key, root, links) of the candidates of each block and pair of blocks."""
+    # candidates: a star in each bucket, then their components
     slots = nodes.select("key", F.explode("bands").alias("bucket"))
-    heads = slots.groupBy(F.col("bucket").alias("b")).agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    near = components(slots.join(heads, F.col("bucket") == F.col("b")).select(F.col("key").alias("u"), F.col("head").alias("v")))
+    heads = stage_table(slots.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "heads")
+    total = heads.agg(F.sum("size")).first()[0] or 0
+    near = components(meet(slots, heads, "bucket", F.xxhash64("key"), total).select(F.col("key").alias("u"), F.col("head").alias("v")))
     member = near.union(near.select("root", "root").distinct())
     at = nodes.join(member, F.col("key") == F.col("node")).select("key", "rep", "copies", "n", "bands", F.col("root").alias("comp"))
+    at = stage_table(blocked(at), "blocks")
+
+    # a bucket over several blocks sends its nodes to each pair of them
+    places = at.select("key", "block", F.explode("bands").alias("bucket"))
+    wide = stage_table(places.groupBy("bucket").agg(F.collect_set("block").alias("blocks"), F.count(F.lit(1)).alias("size")).filter(F.size("blocks") > 1), "wide")
+    total = wide.agg(F.sum("size")).first()[0] or 0
+    across = meet(places, wide, "bucket", F.xxhash64("key"), total).select("key", "block", F.explode("blocks").alias("other")).filter("block != other")
+    across = across.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))).alias("pairs"))
+    own = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
+    at = at.join(across, F.col("key") == F.col("of"), "left").select("key", "rep", "copies", "bands", "block", F.concat(own, F.coalesce("pairs", F.array().cast("array<struct<i:bigint,j:bigint>>"))).alias("pairs"))
     at = stage_table(at, "candidates")
-    parts = at.groupBy(F.col("comp").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("parts"))
-    at = at.join(parts, F.col("comp") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("of")
 
     # the candidates' texts, one for each node
     texts = docs.select(F.col(id_column).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))).alias("text_key"), F.col(text_column).alias("text"))
-    at = stage_table(at, "blocks")
     with_text = texts.join(small(at), (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("rep")))
-    sets = gram_sets(with_text.select("key", "copies", "bands", "comp", "parts", "part", "text"), words)
-    blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    found = blocks.groupBy("comp", "i", "j").applyInArrow(lambda t: verify(t, threshold), "key binary, root binary, links long")
-    found = stage_table(found, "links")
-
-    links = found.groupBy(F.col("key").alias("link_key")).agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    whole = nodes.select("key", "rep", "copies").join(classes, F.col("key") == F.col("node"), "left").join(links, F.col("key") == F.col("link_key"), "left")
-    whole = stage_table(whole.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    ids = whole.groupBy(F.col("root").alias("of")).agg(F.min("rep").alias("class_id"))
-    named = whole.join(ids, F.col("root") == F.col("of")).select(F.col("key").alias("of_key"), "class_id", "copies", "links")
-    out = marks.select("id", "key", "n").join(named, (F.col("key") == F.col("of_key")) & (F.col("n") > 0), "left")
-    return out.select(
-        F.col("id").alias(id_column),
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-    )
+    sets = gram_sets(with_text.select("key", "copies", "bands", "block", "pairs", "text"), words)
+    sent = sets.select("key", "copies", "bands", "block", "grams", F.inline("pairs"))
+    return sent.groupBy("i", "j").applyInArrow(lambda t: verify(t, threshold), "key binary, root binary, links long")

@@ -1,8 +1,10 @@
+import os
 import random
 from itertools import combinations
 
 import numpy as np
-from gleaner.llm import jaccard
+import pytest
+from gleaner.llm import common, graphs, jaccard
 
 
 def sets_of(text):
@@ -68,10 +70,51 @@ def test_against_brute_force(spark, monkeypatch):
             rows.append((len(rows) + 10, " ".join(copy)))
     rows.append((999, " ".join(rng.choice(vocabulary) for _ in range(30_000))))
     assert result(spark, rows) == brute(rows)
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", 3)  # the same over many blocks
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 3)  # the same over many blocks, every key of three rows being hot
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     assert result(spark, rows) == brute(rows)
 
 
+def test_components_with_hot_centres(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
+    assert got == {n: r for n, r in root.items() if n != r}
+
+
+def test_stage_tables_that_nothing_reads_are_deleted(spark):
+    with common.scratch() as made:
+        a, b = (common.stage_table(spark.range(3), t) for t in "ab")
+        made.release(b)
+    assert not os.path.exists(a.stage_path) and b.count() == 3
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_no_link_of_a_whole_table_is_lost(spark):
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    sets = {r.doc_id: sets_of(r.text) for r in docs.select("doc_id", "text").collect()}
+    by_run = {}
+    for doc, runs in sets.items():
+        for run in runs:
+            by_run.setdefault(run, []).append(doc)
+    shared = {}
+    for of in by_run.values():
+        for pair in combinations(sorted(of), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    links = dict.fromkeys(sets, 0)
+    for (a, b), n in shared.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in jaccard.join(docs).collect()}
+    assert got == links and sum(links.values()) > 100
+
+
 def test_empty(spark):
     assert result(spark, [(1, "")]) == [(1, 1, 0)]
     docs = spark.createDataFrame([], "doc_id long, text string")
