@@ -8,13 +8,16 @@ window. All windows of a text are scored, each overlapping the next by STRIDE
 less than LENGTH words; the text's score is that of its worst window.
 
 Training is by hand-written backpropagation on a bounded sample: up to
-TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled texts of at most TRAIN_CHARS
-characters, in the order of a hash of their ids. Each text stands for itself by
-its worst window at that time. Scoring covers every row and whole texts.
+TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled ids in the order of a hash, of
+these as many different texts, as long as all have no more than TRAIN_TOTAL
+characters. A text of over TRAIN_CHARS characters is learned from SLICES slices
+of it, evenly spread, that many characters in all. Each text stands for itself
+by its worst window at that time. Scoring covers every row and whole texts.
 
 Defined results: a text without words (null ones too) scores 0. Without both
 kinds of labels every score is 0. Labels of one id that contradict each other
-count as toxic; labels without a row are ignored. Repeated rows score equally.
+count as toxic; labels without a row are ignored. Repeated rows score equally
+and are learned from once. Only id and text are read of the documents.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import pieces, texts_of
 
 LENGTH, STRIDE = 64, 32
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, SLICES, TRAIN_TOTAL = 2000, 3000, 200_000, 10, 50_000_000
 WORD_BUCKETS, RUN_BUCKETS, WIDTH, HIDDEN = 1 << 14, 1 << 16, 8, 8
 STEPS, BATCH, RATE = 600, 64, 0.01
 #: Times that training may meet each toxic text, and after which shares of the steps the worst windows are sought anew.
@@ -298,13 +301,29 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     return network
 
 
+def sliced(text: Column) -> Column:
+    """A text, or evenly spread slices of one that is too long to learn from whole."""
+    piece = TRAIN_CHARS // SLICES
+    starts = [F.floor((F.length(text) - piece) * (k / (SLICES - 1))).cast("int") + 1 for k in range(SLICES)]
+    return F.when(F.length(text) > TRAIN_CHARS, F.concat_ws(" ", *[text.substr(at, F.lit(piece)) for at in starts])).otherwise(text)
+
+
 def sample(docs: DataFrame, labels: DataFrame, learn, id_column: str, text_column: str, label: str) -> tuple[list[str], np.ndarray]:
-    """The bounded training sample, collected; learn: which ids may be used."""
+    """The bounded training sample, collected; learn: which ids may be used.
+    Which texts are taken is settled on their digests, so that no more texts
+    than that are ever brought together, however often an id repeats."""
     ids = labels.filter(F.col(id_column).isNotNull() & F.col(label).isNotNull()).filter(learn).groupBy(F.col(id_column).alias("label_id")).agg(F.max(label).alias("y"))
     order = F.xxhash64("label_id")
     chosen = ids.filter("y = 1").orderBy(order).limit(TRAIN_TOXIC).union(ids.filter("y = 0").orderBy(order).limit(TRAIN_CLEAN))
-    rows = docs.filter(F.length(text_column) <= TRAIN_CHARS).join(F.broadcast(chosen), F.col(id_column) == F.col("label_id")).select("label_id", F.col(text_column).alias("text"), "y")
-    found = sorted(rows.toArrow().to_pylist(), key=lambda r: (crc32(str(r["label_id"]).encode()), r["text"]))[: TRAIN_TOXIC + TRAIN_CLEAN]
+    rows = docs.select(F.col(id_column).alias("label_id"), sliced(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "label_id").withColumn("digest", F.md5(F.col("text").cast("binary")))
+    marks = rows.select("label_id", "digest", F.length("text").alias("chars")).distinct().orderBy(order, "digest").limit(TRAIN_TOXIC + TRAIN_CLEAN).toPandas()
+    marks = marks[marks["chars"].cumsum() <= TRAIN_TOTAL]
+    if not len(marks):
+        return [], np.zeros(0)
+    taken = docs.sparkSession.createDataFrame(marks[["label_id", "digest"]], rows.select("label_id", "digest").schema)
+    found = rows.join(F.broadcast(taken), ["label_id", "digest"]).groupBy("label_id", "digest", "y").agg(F.first("text").alias("text")).toArrow().to_pylist()
+    found.sort(key=lambda r: (crc32(str(r["label_id"]).encode()), r["digest"]))
     return [r["text"] for r in found], np.array([r["y"] for r in found])
 
 
@@ -313,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id", te
 
 
 def score(docs: DataFrame, network: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(every column of docs but the text, score) for every row."""
+    """(id, score) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network) if network is not None else None

@@ -1,6 +1,8 @@
 """Toxicity, quality classifier and the pipeline."""
 
 import random
+import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -106,6 +108,70 @@ def test_score_edge_rows(spark, network):
     assert toxicity.score(docs.limit(0), network).count() == 0
 
 
+def plain_score(net, text):
+    """The worst window's probability, word by word in plain loops."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words = re.findall(r"\w+", (text or "").lower())
+    vectors = []
+    for w in words:
+        marked = f"\x02{w}\x03"
+        runs = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        chars = sum(net.runs[toxicity_bucket(r)].astype(float) for r in runs) / np.sqrt(len(runs))
+        vectors.append(np.concatenate([net.words[zlib.crc32(w.encode()) % toxicity.WORD_BUCKETS], chars]))
+    best, start = 0.0, 0
+    while words:
+        window, states = vectors[start : start + toxicity.LENGTH], []
+        for side, steps in ((0, window), (1, window[::-1])):
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for x in steps:
+                gates, own = x @ net.inward[side] + net.bias[side], h @ net.inner[side]
+                z, r, n = (slice(k * toxicity.HIDDEN, (k + 1) * toxicity.HIDDEN) for k in range(3))
+                update, reset = sigmoid(gates[z] + own[z]), sigmoid(gates[r] + own[r])
+                h = (1 - update) * np.tanh(gates[n] + reset * own[n]) + update * h
+                out.append(h)
+            states.append(out if side == 0 else out[::-1])
+        both = np.array([np.concatenate(pair) for pair in zip(*states, strict=True)])
+        look = np.exp(both @ net.look - (both @ net.look).max())
+        best = max(best, sigmoid((look / look.sum()) @ both @ net.out + net.shift[0]))
+        if start + toxicity.LENGTH >= len(words):
+            break
+        start += toxicity.STRIDE
+    return best
+
+
+def toxicity_bucket(run):
+    """The bucket of one run of characters, number by number."""
+    most, code = 1 << 64, len(run)
+    for k, ch in enumerate(run):
+        code = (code * 0x9E3779B97F4A7C15 % most) ^ (ord(ch) + k + 1)
+    code = (code ^ (code >> 29)) * 0xBF58476D1CE4E5B9 % most
+    return (code >> 40) % toxicity.RUN_BUCKETS
+
+
+def test_scores_are_those_of_plain_loops(spark, network):
+    texts = [t for t, _ in corpus(12, 21)] + [None, "", "one", "Scum!", "é moron " * 70, " ".join(["ta"] * 96 + ["idiot"])]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, y int, label_id string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, network).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plain_score(network, t) for t in texts], abs=2e-4)
+
+
+def test_sample_is_bounded_and_takes_long_texts(spark, monkeypatch):
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(i, f"text {i}", 0, "x") for i in range(40)] + [(1, "text 1", 0, "x")] * 300 + [(2, f"other {i}", 0, "x") for i in range(300)] + [(50, long, 1, "y"), (51, None, 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, label_id string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, F.lit(True), "doc_id", "text", "toxic")
+    assert len(texts) == len(y) == 39 + 301 + 2 and texts.count("text 1") == 1 and "" in texts
+    (slices,) = (t for t in texts if t.startswith("word0 "))
+    assert toxicity.TRAIN_CHARS <= len(slices) < toxicity.TRAIN_CHARS + 20 and "word39999" in slices and "word2000" in slices
+    monkeypatch.setattr(toxicity, "TRAIN_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "TRAIN_CLEAN", 20)
+    assert len(toxicity.sample(docs, labels, F.lit(True), "doc_id", "text", "toxic")[0]) <= 40
+    monkeypatch.setattr(toxicity, "TRAIN_TOTAL", 100)
+    assert sum(map(len, toxicity.sample(docs, labels, F.lit(True), "doc_id", "text", "toxic")[0])) <= 100
+    assert toxicity.sample(docs.limit(0), labels, F.lit(True), "doc_id", "text", "toxic")[0] == []
+
+
 def test_neighbour_sums_count_the_corpus(spark):
     texts = ["a b a c", None, "", "A-7 b", "x"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
@@ -124,6 +190,41 @@ def test_neighbour_sums_count_the_corpus(spark):
     assert got.keys() == want.keys() and all((got[b] == want[b]).all() for b in want)
 
 
+def plain_features(text, table):
+    """What a text pools to, token by token."""
+    buckets = [classifier.bucket_of(t) for t in classifier._TOKENS(text or "")]
+    v = [table[b].astype(float) for b in buckets]
+    n = len(v)
+    if not n:
+        return np.zeros(classifier.FEATURES)
+    mean = sum(v) / n
+    spread = np.sqrt(np.maximum(sum(x * x for x in v) / n - mean * mean, 0))
+    close = sum(float(a @ b) for a, b in zip(v, v[1:], strict=False)) / n
+    focus = np.sqrt(sum(buckets.count(b) ** 2 for b in set(buckets))) / n
+    return np.concatenate([mean, spread, [close, focus, np.log(1 + n)]])
+
+
+def test_classifier_scores_are_those_of_plain_loops(spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join(("%%% " if i % 4 == 0 else "") + rng.choice(["Ta", "re", "ON", "li7", "né", "so-so"]) for _ in range(rng.randrange(1, 60)))) for i in range(120)] + [(200, None), (201, ""), (7, "x"), (None, "on li")]
+    docs = spark.createDataFrame([(i, t, 0.5, "l") for i, t in rows], "doc_id long, text string, y double, label_id string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(120)], "doc_id long, quality int")
+    table = classifier.vectors(classifier.neighbour_sums(docs))
+    featured = classifier.features(docs, table)
+    by_row = {(r.doc_id, tuple(r.features)) for r in featured.collect()}
+    want = [(i, plain_features(t, table)) for i, t in rows]
+    assert all(any(i == j and np.allclose(x, y, atol=2e-3) for j, y in by_row) for i, x in want)
+    learn, calibrate = F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 1
+    net = classifier.fit(featured, labels, learn, calibrate)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.score) for r in classifier.classify(docs, labels, learn, calibrate).collect()))
+    plain = []
+    for i, x in want:
+        hidden = [np.tanh(sum((x[k] - net.mean[k]) / net.spread[k] * net.a[k, j] for k in range(len(x))) + net.a0[j]) for j in range(classifier.HIDDEN)]
+        plain.append((i is None, i or 0, 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, net.b, strict=True)) + net.b0) / net.temperature))))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(plain)]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(plain)], abs=5e-3)
+
+
 def test_classifier_held_out(spark):
     rng = random.Random(4)
     rows = []
