@@ -33,8 +33,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: For each dimension, weights of values (what isn't listed weighs its own share), or the power to which shares are raised.
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": 0.7}
 ROUNDS, FILLS, BUDGET = 12, 8, 0.5
-#: Raking goes on after ROUNDS until no sum is off its target by more than that share of it (the SQL stops at ROUNDS, which
-#: meets it on all three test tables); it gives up after so many rounds. Share of all tokens that the draws may be short of the budget.
+#: Raking goes on after ROUNDS until no sum is off its target by more than that share of it; it gives up after so many
+#: rounds. Share of all tokens that the draws may be short of the budget.
 TOLERANCE, MOST_ROUNDS, SHORT = 1e-4, 1000, 1e-9
 
 
@@ -171,15 +171,21 @@ c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM r WHERE n
 g AS (SELECT *, {", ".join(f"{e} AS {d}_g" for d, e in goals.items())} FROM c),
 v AS (SELECT *, {", ".join(f"tokens / sum(tokens) OVER (PARTITION BY {d}) AS {d}_part" for d in DIMENSIONS)}, tokens / sum(tokens) OVER () AS weight FROM g),
 w_0 AS (SELECT source, lang, topic, tokens, {", ".join(f"{d}_g / sum({d}_g * {d}_part) OVER () AS {d}_goal" for d in DIMENSIONS)}, weight FROM v)"""
-    last = "w_0"
-    for i, d in enumerate(DIMENSIONS * ROUNDS, 1):
-        sql += f",\nw_{i} AS MATERIALIZED (SELECT * REPLACE (weight * {d}_goal / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})"
-        last = f"w_{i}"
-    sql += f",\ns_0 AS (SELECT *, weight / tokens AS each, {BUDGET!r} * sum(tokens) OVER () AS wanted, {BUDGET!r} * sum(tokens) OVER () AS scale FROM {last})"
-    for i in range(1, FILLS + 1):
-        sql += f",\ns_{i} AS MATERIALIZED (SELECT * REPLACE (greatest(scale, coalesce((wanted - sum(CASE WHEN each * scale >= 1 THEN tokens ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN each * scale >= 1 THEN 0 ELSE weight END) OVER (), 0), scale)) AS scale) FROM s_{i - 1})"
+    # the rounds go on as in rake(): one step for each round, a check after every fourth from ROUNDS on
+    last = "rk"
+    for d in DIMENSIONS:
+        last = f"(SELECT * REPLACE (weight * {d}_goal / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})"
+    off = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {d}) / {d}_goal - 1)" for d in DIMENSIONS)
+    sql = sql.replace("\nWITH ", "\nWITH RECURSIVE ", 1) + f""",
+rk AS (SELECT 0 AS step, 'Infinity'::DOUBLE AS before, false AS done, * FROM w_0
+  UNION ALL SELECT step + 1, CASE WHEN checked THEN off ELSE before END, checked AND (off <= {TOLERANCE!r} OR off > 0.999 * before OR step + 1 >= {MOST_ROUNDS}), * EXCLUDE (step, before, done, checked, off, each_off)
+  FROM (SELECT *, (step + 1) % 4 = 0 AND step + 1 >= {ROUNDS} AS checked, max(each_off) OVER () AS off FROM (SELECT *, greatest({off}) AS each_off FROM {last} AS a) AS b) AS c WHERE NOT done),
+s_0 AS (SELECT source, lang, topic, tokens, weight, weight / tokens AS each, {BUDGET!r} * sum(tokens) OVER () AS wanted, {BUDGET!r} * sum(tokens) OVER () AS scale FROM rk WHERE step = (SELECT max(step) FROM rk)),
+fl AS (SELECT 0 AS step, false AS done, * FROM s_0
+  UNION ALL SELECT step + 1, scale = old, * EXCLUDE (step, done, old) FROM (SELECT * REPLACE (greatest(scale, coalesce((wanted - sum(CASE WHEN each * scale >= 1 THEN tokens ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN each * scale >= 1 THEN 0 ELSE weight END) OVER (), 0), scale)) AS scale), scale AS old FROM fl) AS a WHERE NOT done),
+filled AS (SELECT * FROM fl WHERE step = (SELECT max(step) FROM fl))"""
     return sql + f"""
 SELECT doc_id, r.source, r.lang, r.topic, n_tokens, round(1e6 * coalesce(each * n_tokens, 0), 6) AS weight_ppm, round(CASE WHEN each IS NULL THEN 0 ELSE least(1, each * scale) END, 6) AS p,
   round(coalesce(greatest(1, each * scale), 1), 6) AS residual,
   ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / pow(2, 48) < CASE WHEN each IS NULL THEN 0 ELSE least(1, each * scale) END AS sampled
-FROM r LEFT JOIN s_{FILLS} s ON r.source IS NOT DISTINCT FROM s.source AND r.lang IS NOT DISTINCT FROM s.lang AND r.topic = s.topic AND n_tokens > 0"""
+FROM r LEFT JOIN filled s ON r.source IS NOT DISTINCT FROM s.source AND r.lang IS NOT DISTINCT FROM s.lang AND r.topic = s.topic AND n_tokens > 0"""
