@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
 Words are lower-case ASCII letters, digits and anything beyond ASCII. A text's
-blocks are its runs of BLOCK words, each starting HALF a block after the one
-before, so any passage of up to half a block lies whole in some block. A block
-matches a template if it has at least THRESHOLD of the template's distinct words
+blocks are its runs of so many words, each starting half a block after the one
+before, so any passage of up to half a block lies whole in some block. Blocks of
+64 words are joined with templates of up to 32, blocks of 128 with those of up
+to 64, and so on: templates may be whole license texts. A block matches a
+template if it has at least THRESHOLD of the template's distinct words
 (containment).
 
 The join is exact. Template words are ordered by how many blocks of the whole
@@ -14,7 +16,7 @@ both after the place of the first shared one must still make up c (positional
 filter). What passes is verified on the full sets.
 
 Besides, a text is searched for fixed phrases: places where a phrase's words
-stand consecutively.
+stand consecutively. Phrases are found by their first words in one pass.
 
 Templates and phrases are parameters, bounded by MOST_TEMPLATES. Defined results:
 null and empty texts have no words, labels are empty strings, score is 0.
@@ -29,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import texts_of
+from gleaner.llm.common import pieces, texts_of
 
-THRESHOLD, BLOCK, MOST_TEMPLATES = 0.8, 64, 10_000
-HALF = BLOCK // 2
+#: LEAST_HALF: half the words of the smallest blocks.
+THRESHOLD, LEAST_HALF, MOST_TEMPLATES = 0.8, 32, 10_000
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Labels and the sentences that stand for them; any of up to half a block of words.
+#: Labels and the sentences or whole texts that stand for them (public texts of the licenses).
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("mit", "Released under the MIT License"),
@@ -47,6 +49,24 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
     ("all-rights-reserved", "All rights reserved"),
     ("public-domain", "This work has been dedicated to the public domain"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability "
+        "and fitness for a particular purpose are disclaimed.",
+    ),
 ]
 
 #: A-Z lowered; ASCII other than letters and digits becomes a space.
@@ -57,36 +77,51 @@ def words_in(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split()
 
 
-def blocks_of(words: list) -> Iterator[tuple[int, list]]:
+def half_for(template: str) -> int:
+    """Half the length of the blocks that a template is joined with."""
+    half = LEAST_HALF
+    while half < len(words_in(template)):
+        half *= 2
+    return half
+
+
+def blocks_of(words: list, half: int = LEAST_HALF) -> Iterator[tuple[int, list]]:
     """(start, words) of all blocks; the last reaches the text's end."""
     start = 0
     while words:
-        yield start, words[start : start + BLOCK]
-        if start + BLOCK >= len(words):
+        yield start, words[start : start + 2 * half]
+        if start + 2 * half >= len(words):
             return
-        start += HALF
+        start += half
+
+
+class Phrases:
+    """Phrases by their first words."""
 
+    def __init__(self, phrases: dict[str, str]):
+        self.by_first: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        for phrase, label in phrases.items():
+            if own := words_in(phrase):
+                self.by_first.setdefault(own[0], []).append((own, label))
 
-def places_of(words: list[bytes], phrase: list[bytes], line: bytes) -> list[int]:
-    """Where the phrase's words stand, by word; line: all words, each after a space, then a space."""
-    sought, found, at = b" " + b" ".join(phrase) + b" ", [], 0
-    if len(words) < len(phrase):
-        return found
-    while (at := line.find(sought, at)) >= 0:
-        found.append(line.count(b" ", 0, at))
-        at += 1
-    return found
+    def places(self, words: list[bytes], distinct: set[bytes]) -> list[tuple[int, str]]:
+        """(first word's place, label) wherever a phrase stands."""
+        if self.by_first.keys().isdisjoint(distinct):
+            return []
+        get = self.by_first.get
+        return [(i, label) for i, w in enumerate(words) for own, label in get(w, ()) if words[i : i + len(own)] == own]
 
 
 class Templates:
-    """Templates as sets over one order of their words, with a prefix index."""
+    """Templates of one block length (number, label, text) as sets over one
+    order of their words, with a prefix index."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float = THRESHOLD):
-        vocabulary = {w for _, t in templates for w in words_in(t)}
+    def __init__(self, templates: list[tuple[int, str, str]], frequency: dict[bytes, int], threshold: float = THRESHOLD):
+        vocabulary = {w for *_, t in templates for w in words_in(t)}
         self.place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-        self.sets, self.labels, self.need = [], [], []
+        self.sets, self.numbers, self.need = [], [], []
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
-        for label, text in templates:
+        for number, _, text in templates:
             own = sorted({self.place[w] for w in words_in(text)})
             if not own:
                 continue
@@ -94,7 +129,7 @@ class Templates:
             for j in range(len(own) - need + 1):
                 self.prefixes.setdefault(own[j], []).append((len(self.sets), j))
             self.sets.append(own)
-            self.labels.append(label)
+            self.numbers.append(number)
             self.need.append(need)
 
     def matches(self, block: set[bytes]) -> dict[int, float]:
@@ -113,13 +148,13 @@ class Templates:
                     continue
                 common = len(set(own) & set(self.sets[t]))
                 if common >= need:
-                    out[t] = common / len(self.sets[t])
+                    out[self.numbers[t]] = common / len(self.sets[t])
         return out
 
 
 def frequencies(docs: DataFrame, templates: list[tuple[str, str]], text_column: str = "text") -> dict[bytes, int]:
-    """In how many blocks of the corpus each template word stands: a row for
-    each word of the templates, whatever the corpus's size."""
+    """In how many of the corpus's smallest blocks each template word stands: a
+    row for each word of the templates, whatever the corpus's size."""
     vocabulary = {w for _, t in templates for w in words_in(t)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,24 +178,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     labels, score, matches: block start, template and containment)."""
     if len(templates) > MOST_TEMPLATES or len(phrases) > MOST_TEMPLATES:
         raise ValueError(f"over {MOST_TEMPLATES} templates or phrases")
-    if any(len(words_in(t)) > HALF for _, t in templates):
-        raise ValueError(f"a template has over {HALF} words")
-    index = Templates(templates, frequencies(docs, templates, text_column), threshold)
-    sought = [(words_in(p), label) for p, label in phrases.items()]
+    frequency = frequencies(docs, templates, text_column)
+    by_half: dict[int, list[tuple[int, str, str]]] = {}
+    for number, (label, text) in enumerate(templates):
+        by_half.setdefault(half_for(text), []).append((number, label, text))
+    indexes = [(half, Templates(some, frequency, threshold)) for half, some in sorted(by_half.items())]
+    sought = Phrases(phrases)
 
     def one(text: str) -> tuple:
         words = words_in(text)
-        line = b" " + b" ".join(words) + b" "
-        places, base = [], set()
-        for phrase, label in sought:
-            if found := places_of(words, phrase, line):
-                places += found
-                base.add(label)
+        distinct = set(words)
+        found = sought.places(words, distinct)
+        places, base = [i for i, _ in found], {label for _, label in found}
         matches = []
-        if not index.prefixes.keys().isdisjoint(index.place.get(w, -1) for w in set(words) & index.place.keys()):
-            for start, block in blocks_of(words):
-                matches += [{"start": start, "template": t, "containment": c} for t, c in sorted(index.matches(set(block)).items())]
-        labels = base | {index.labels[m["template"]] for m in matches}
+        for half, index in indexes:
+            if not index.prefixes.keys().isdisjoint(index.place[w] for w in distinct & index.place.keys()):
+                for start, block in blocks_of(words, half):
+                    matches += [{"start": start, "template": t, "containment": c} for t, c in index.matches(set(block)).items()]
+        matches.sort(key=lambda m: (m["start"], m["template"]))
+        labels = base | {templates[m["template"]][0] for m in matches}
         score = 1.0 if base else max((m["containment"] for m in matches), default=0.0)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, matches
 
@@ -168,9 +204,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(t) for t in texts_of(batch, "text")]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True))], ["id", *kinds])
+            texts = texts_of(batch, "text")
+            for at, end in pieces(texts):
+                columns = zip(*map(one, texts[at:end]), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), *(pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True))], ["id", *kinds])
 
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<start: long, template: int, containment: double>>"
@@ -180,18 +217,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 def oracle() -> str:
     """scan() in DuckDB, for tables with unique ids; without the matches."""
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
-    sets = [(i, label, sorted(set(words_in(t)))) for i, (label, t) in enumerate(TEMPLATES)]
-    words = ", ".join(f"({i}, '{label}', '{w.decode()}', {len(own)}, {max(1, -int(-THRESHOLD * len(own) // 1))})" for i, label, own in sets for w in own)
+    sets = [(i, label, half_for(t), sorted(set(words_in(t)))) for i, (label, t) in enumerate(TEMPLATES)]
+    words = ", ".join(f"({i}, '{label}', {half}, '{w.decode()}', {len(own)}, {max(1, -int(-THRESHOLD * len(own) // 1))})" for i, label, half, own in sets for w in own)
     return f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM w),
 p(phrase, label) AS (VALUES {phrases}),
 g AS (SELECT doc_id, i, label FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w) JOIN p ON array_to_string(ws[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM g GROUP BY doc_id),
-t(template, label, word, size, need) AS (VALUES {words}),
-k AS (SELECT doc_id, i, n, word, unnest([i // {HALF} - 1, i // {HALF}]) AS block FROM e),
-m AS (SELECT doc_id, block, template, any_value(label) AS label, count(DISTINCT word) / any_value(size) AS containment FROM k JOIN t USING (word)
-  WHERE block >= 0 AND (block = 0 OR (block - 1) * {HALF} + {BLOCK} < n) GROUP BY doc_id, block, template HAVING count(DISTINCT word) >= any_value(need)),
+t(template, label, half, word, size, need) AS (VALUES {words}),
+k AS (SELECT doc_id, n, template, label, half, word, size, need, unnest([i // half - 1, i // half]) AS block FROM e JOIN t USING (word)),
+m AS (SELECT doc_id, block, template, any_value(label) AS label, count(DISTINCT word) / any_value(size) AS containment FROM k
+  WHERE block >= 0 AND (block = 0 OR (block + 1) * half < n) GROUP BY doc_id, block, template HAVING count(DISTINCT word) >= any_value(need)),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM g) GROUP BY doc_id),
 s AS (SELECT doc_id, max(containment) AS score FROM m GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
