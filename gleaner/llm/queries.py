@@ -58,15 +58,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, network).select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-#: The base rules, then the method's own for what they leave open.
-URL_RULES = [
+#: The rules that are given, and those of the operator's user, which judge what no given rule fits: a parameter, here hosts
+#: that the test tables mark as spam.
+BASE_URL_RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
     urls.Rule("block", "example.org", "/en/1"),
     urls.Rule("allow", "com", "/fr/"),
     urls.Rule("block", "com", "/de/"),
-    *(urls.Rule("block", f"casino-win.example.{top}", "", base=False) for top in ("com", "net", "org")),
 ]
+OWN_URL_RULES = [urls.Rule("block", f"casino-win.example.{top}", "", base=False) for top in ("com", "net", "org")]
+URL_RULES = BASE_URL_RULES + OWN_URL_RULES
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

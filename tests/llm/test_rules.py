@@ -133,11 +133,14 @@ def test_license_scan_against_all_pairs(spark):
         words = licenses.words_in(text or "")
         places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.encode().split()]
         found = []
-        for start, block in licenses.blocks_of(words):
-            for k, (_, template) in enumerate(licenses.TEMPLATES):
-                own = set(licenses.words_in(template))
-                if len(own & set(block)) >= 0.8 * len(own) - 1e-9:
-                    found.append((start, k, len(own & set(block)) / len(own)))
+        for k, (_, template) in enumerate(licenses.TEMPLATES):
+            own, half = set(licenses.words_in(template)), licenses.half_for(template)
+            assert half >= len(licenses.words_in(template))
+            for start in range(0, max(1, len(words) - half), half) if words else ():
+                block = set(words[start : start + 2 * half])
+                if len(own & block) >= 0.8 * len(own) - 1e-9:
+                    found.append((start, k, len(own & block) / len(own)))
+        found.sort()
         base = {label for _, label in places}
         labels = base | {licenses.TEMPLATES[k][0] for _, k, _ in found}
         at = [i for i, _ in places]
@@ -145,13 +148,25 @@ def test_license_scan_against_all_pairs(spark):
     assert got == want
 
 
+def test_license_templates_of_any_length(spark):
+    """A whole text of 500 words is found in a longer one; thousands of phrases cost one pass."""
+    whole = " ".join(f"term{i}" for i in range(500))
+    noise = " ".join(f"n{i}" for i in range(900))
+    near = " ".join(w for i, w in enumerate(whole.split()) if i % 7)
+    docs = documents(spark, [(1, f"{noise} {whole} {noise}", "en", "s"), (2, f"{noise} {near} {noise}", "en", "s"), (3, whole[: len(whole) // 2], "en", "s"), (4, noise * 20, "en", "s")])
+    phrases = {f"phrase number {i}": f"p{i}" for i in range(5000)} | {"n5 n6": "five", "n5 n6 n7": "long"}
+    out = {r.doc_id: r for r in licenses.scan(docs, [("whole", whole), ("short", "n3 n4 n5")], phrases).collect()}
+    assert {i: r.labels for i, r in out.items()} == {1: "five,long,short,whole", 2: "five,long,short,whole", 3: "", 4: "five,long,short"}
+    assert out[1].n_base == 4 and out[1].first_word == 5 and out[4].n_base == 40
+
+
 def fits(rule, host, path):
     return (host == rule.host or host.endswith("." + rule.host)) and path.startswith(rule.path)
 
 
-def test_urls_against_every_rule(spark):
+def test_urls_against_every_rule(spark, monkeypatch):
     rng = random.Random(5)
-    hosts = ["org", "example.org", "a.example.org", "b.a.example.org", "xexample.org", "com", "e.com", "", "org.", ".org", "é.com"]
+    hosts = ["org", "example.org", "a.example.org", "b.a.example.org", "xexample.org", "com", "e.com", "", "org.", ".org", "é.com", "x\x01com", "x", "x\x02com", "a.x\x024com"]
     paths = ["", "/", "/en/", "/en/1", "/en/12/x", "/fr/", "/fr/é"]
     rules = [urls.Rule(rng.choice(["allow", "block"]), h, p, rng.random() < 0.6) for h in hosts if h for p in paths for _ in range(2) if rng.random() < 0.5]
     addresses = [None, "", "no scheme", "http://", "HTTP://Example.ORG/EN/", "http://a.example.org?x=/en/1", "x://h://y"] + [f"https://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q', '#t', 'z'])}" for _ in range(300)]
@@ -167,11 +182,28 @@ def test_urls_against_every_rule(spark):
         want[i if i % 9 else None, host, path, name if best and best.base else None, name if best and not best.base else None, best.action if best else "allow"] += 1
     assert got == want
     table = spark.createDataFrame([tuple(r) for r in rules], "action string, host string, path string, base boolean")
-    joined = urls.joined(urls.parts_of(pages, "page_id", "url"), table).withColumnRenamed("id", "page_id")
-    assert Counter(tuple(r[c] for c in columns) for r in joined.collect()) == want
+    for size in (400, 25):  # one range, and many
+        many = urls.ranged(urls.parts_of(pages, "page_id", "url"), table, "bigint", size).withColumnRenamed("id", "page_id")
+        assert Counter(tuple(r[c] for c in columns) for r in many.collect()) == want
+    assert urls.ranged(urls.parts_of(pages.limit(0), "page_id", "url"), table, "bigint").count() == 0
+    monkeypatch.setattr(urls, "MOST_RULES", 5)
+    assert Counter(tuple(r[c] for c in columns) for r in urls.judge(pages, rules).collect()) == want
+    assert Counter(tuple(r[c] for c in columns) for r in urls.judge(pages, table).collect()) == want
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_many_rules_under_one_host_are_nested_once():
+    rules = [urls.Rule("block", "com", f"/{i:05}") for i in range(20_000)] + [urls.Rule("allow", "com", "/000")]
+    sweep, made = urls.Sweep(rules), []
+    init = urls.Paths.__init__
+    urls.Paths.__init__ = lambda self, some: (made.append(len(some)), init(self, some))[1]
+    try:
+        found = [sweep.at(urls.host_key(h), "/00077x") for h in sorted((f"h{i}.com" for i in range(500)), key=urls.host_key)]
+    finally:
+        urls.Paths.__init__ = init
+    assert made == [20_001] and {r.path for r in found} == {"/00077"}
+
+
 def test_sql_of_odd_rows(spark):
     """The oracles agree with the operators on texts that the tables lack."""
     con = duckdb.connect()
