@@ -173,23 +173,29 @@ def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 def blocked(nodes: DataFrame) -> DataFrame:
     """Adds block: nodes (key, n, bands, comp, ...) in the order of component and
-    first band, cut whenever a block is full."""
+    first band, cut wherever a block is full. Blocks run across partitions, so
+    that their number follows from the nodes alone."""
     names = nodes.columns
+    least = BLOCK_MEMBERS // BLOCK_NODES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, count, members = TaskContext.get().partitionId() << 32, 0, 0
+        own, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = []
-            for n in batch.column("n").to_pylist():
-                if count and (count >= BLOCK_NODES or members + n > BLOCK_MEMBERS):
-                    block, count, members = block + 1, 0, 0
-                out.append(block)
-                count, members = count + 1, members + n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "block"])
+            weight = np.maximum(1, batch.column("n").to_numpy() // least)
+            ends = at + np.cumsum(weight)
+            at = int(ends[-1]) if len(ends) else at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), own, np.int32)), pa.array(ends - weight), pa.array(weight)], [*names, "own", "begin", "weight"])
 
     order = ["comp", F.get("bands", F.lit(0)), "key"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
-    return nodes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{schema}, block long")
+    placed = stage_table(nodes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{schema}, own int, begin long, weight long"), "placed")
+    # one row for each partition
+    offsets, at = [], 0
+    for own, size in sorted(map(tuple, placed.groupBy("own").agg(F.sum("weight")).collect())):
+        offsets.append((own, at))
+        at += size
+    starts = F.broadcast(placed.sparkSession.createDataFrame(offsets, "own int, offset long"))
+    return placed.join(starts, "own").select(*names, F.floor((F.col("offset") + F.col("begin")) / BLOCK_NODES).cast("long").alias("block"))
 
 
 def shared(lists: tuple[np.ndarray, np.ndarray], n: int, width: int, pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[np.ndarray]:
@@ -305,8 +311,9 @@ def _links(docs: DataFrame, nodes: DataFrame, id_column: str, text_column: str,
     places = at.select("key", "block", F.explode("bands").alias("bucket"))
     wide = stage_table(places.groupBy("bucket").agg(F.collect_set("block").alias("blocks"), F.count(F.lit(1)).alias("size")).filter(F.size("blocks") > 1), "wide")
     total = wide.agg(F.sum("size")).first()[0] or 0
-    across = meet(places, wide, "bucket", F.xxhash64("key"), total).select("key", "block", F.explode("blocks").alias("other")).filter("block != other")
-    across = across.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))).alias("pairs"))
+    across = meet(places, wide, "bucket", F.xxhash64("key"), total).groupBy(F.col("key").alias("of")).agg(F.any_value("block").alias("own"), F.flatten(F.collect_set("blocks")).alias("blocks"))
+    others = F.array_remove(F.array_distinct("blocks"), F.col("own"))
+    across = across.select("of", F.transform(others, lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"))).alias("pairs"))
     own = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
     at = at.join(across, F.col("key") == F.col("of"), "left").select("key", "rep", "copies", "bands", "block", F.concat(own, F.coalesce("pairs", F.array().cast("array<struct<i:bigint,j:bigint>>"))).alias("pairs"))
     at = stage_table(at, "candidates")
