@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BROADCAST_ROWS, small, stage_table, words_of
+from gleaner.llm.common import BROADCAST_ROWS, scratch, small, stage_table, words_of
 
 DIMENSIONS = ("source", "lang", "topic")
 #: For each dimension, weights of values (what isn't listed weighs its own share), or the power to which shares are raised.
@@ -39,7 +39,8 @@ TOLERANCE, MOST_ROUNDS, SHORT = 1e-4, 1000, 1e-9
 
 
 def topic_of(text: Column) -> Column:
-    """A topic for each whole text, by fixed rules in order."""
+    """A stand-in for a topic column where the corpus has none: fixed rules over
+    the whole text, in order."""
     low = F.lower(text)
     return (
         F.when(low.contains("licens") | low.contains("copyright") | low.contains("rights reserved"), "legal")
@@ -135,17 +136,21 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     return df.select(*dimensions, "tokens", "weight", "each", p.alias("p"), F.greatest(F.lit(1.0), F.col("each") * F.col("scale")).alias("residual"))
 
 
-def counted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def counted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), topic: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(id_column, *keep, "source", "lang", topic_of(text).alias("topic"), F.size(words_of(F.col(text_column))).cast("long").alias("n_tokens"))
+    return docs.select(id_column, *keep, "source", "lang", (topic_of(text) if topic is None else topic).alias("topic"), F.size(words_of(F.col(text_column))).cast("long").alias("n_tokens"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict = TARGETS, budget: float = BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", targets: dict = TARGETS, budget: float = BUDGET, keep: tuple[str, ...] = (), topic: Column | None = None) -> DataFrame:
     """Every document (with the columns keep) with its cell, token weight, chance
-    and draw."""
-    rows = stage_table(counted(docs, id_column, text_column, keep), "mix")
-    cells = stage_table(rows.filter("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = small(stage_table(rake(cells, targets=targets, budget=budget), "raked")).select(*[F.col(d).alias(f"{d}_of") for d in DIMENSIONS], "each", "p", "residual")
+    and draw. topic: an expression over docs, such as the column of a classifier;
+    without one, topic_of."""
+    with scratch() as made:
+        rows = stage_table(counted(docs, id_column, text_column, keep, topic), "mix")
+        cells = stage_table(rows.filter("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+        raked = stage_table(rake(cells, targets=targets, budget=budget), "raked")
+        made.release(rows, raked)
+    raked = small(raked).select(*[F.col(d).alias(f"{d}_of") for d in DIMENSIONS], "each", "p", "residual")
     out = rows.join(raked, [F.col(d).eqNullSafe(F.col(f"{d}_of")) for d in DIMENSIONS] + [F.col("n_tokens") > 0], "left")
     p = F.coalesce("p", F.lit(0.0))
     return out.select(

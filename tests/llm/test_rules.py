@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -38,7 +39,7 @@ def test_measures(spark):
     assert Counter(tuple(r[n] for n in names) for r in out) == Counter(map(expected_measures, texts))
 
 
-@pytest.mark.parametrize(("n", "p"), [(10, 0.3), (700, 0.01), (5000, 0.02), (100_000, 0.01)])
+@pytest.mark.parametrize(("n", "p"), [(10, 0.3), (700, 0.01), (5000, 0.02), (100_000, 0.01), (10_000_000, 0.01)])
 def test_binomial_tail(spark, n, p):
     ks = sorted({0, 1, int(n * p / 3), int(n * p * 0.8), int(n * p)})
     rows = spark.createDataFrame([(float(k), float(n)) for k in ks], "k double, n double")
@@ -48,22 +49,58 @@ def test_binomial_tail(spark, n, p):
         assert got[k] == pytest.approx(exact, rel=1e-6)
 
 
+def plain_cutoffs(rows, labels, risk=quality.RISK, error=quality.ERROR):
+    """The chosen cutoffs by stratum and rule, all rungs tested in plain loops."""
+    rates = {}
+    for doc, text, lang, _ in rows:
+        words, chars, symbols, dup, repeated, failed = expected_measures(text)
+        lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+        rate = lambda a, b: a / b if b else 0.0
+        if not failed and doc in labels:
+            upper, shouts = sum(unicodedata.category(c) == "Lu" for c in text), text.count("!")
+            rates.setdefault(lang, []).append((labels[doc], {"symbol_rate": rate(symbols, chars), "upper_rate": rate(upper, chars), "shout_rate": rate(shouts, words), "repeat_rate": rate(repeated, words), "dup_line_rate": rate(dup, len(lines))}))
+    strata = [s for s, found in rates.items() if any(good for good, _ in found)]
+    out = {}
+    for s in strata:
+        n = sum(good for good, _ in rates[s])
+        for rule, cuts in quality.LADDERS.items():
+            best = None
+            for cut in cuts:
+                k = sum(good and r[rule] > cut for good, r in rates[s])
+                p = risk / len(quality.LADDERS)
+                tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)) if k <= n * p else 1
+                gain = sum(not good and r[rule] > cut for good, r in rates[s]) - quality.GOOD_COST * k
+                if tail <= error / (len(strata) * len(quality.LADDERS)) and gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, cut)
+            if best:
+                out[s, rule] = best[1]
+    return out
+
+
 def test_thresholds_keep_good_documents(spark):
+    """Three strata large enough to certify cutoffs, one of them null, and one that isn't."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    rows, labels = [], []
-    for i in range(2600):
-        bad = i % 10 == 0
-        rows.append((i, " ".join(word() + ("%%" if bad else "") for _ in range(24)), "en" if i < 2400 else None, "s"))
-        labels.append((i, int(not bad), 0))
-    rows += [(9000, None, "en", None), (9001, rows[10][1], "xx", None)]
-    out = {r.doc_id: r for r in quality.judge(documents(spark, rows), spark.createDataFrame([*labels, (5, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")).collect()}
-    assert not any(out[i].kept for i in range(0, 2400, 10)) and all(out[i].kept for i in range(2600) if i % 10)
-    assert out[2400].kept  # a stratum with too few labels rejects by the base alone
+    spoil = {"en": lambda w: w + "%%", "de": str.upper, None: lambda w: w + "!"}
+    rows, labels = [], {}
+    for i in range(4500):
+        lang, bad = ["en", "de", None][i % 3] if i < 4350 else "fr", i % 10 == 0
+        odd = rng.random() < 0.0015  # a few good documents look bad
+        rows.append((i, " ".join(spoil.get(lang, str.upper)(word()) if bad or odd else word() for _ in range(24)), lang, "s"))
+        labels[i] = not bad
+    rows += [(9000, None, "en", None), (9001, rows[11][1], "xx", None)]
+    table = spark.createDataFrame([*((i, int(y), 0) for i, y in labels.items()), (5, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    want = plain_cutoffs(rows, labels)
+    assert {s for s, _ in want} == {"en", "de", None}
+    cuts = quality.thresholds(quality.measures(documents(spark, rows)), table).collect()
+    assert {(r.stratum, rule): r[f"cut_{rule}"] for r in cuts for rule in quality.LADDERS if r[f"cut_{rule}"] is not None} == want
+    out = {r.doc_id: r for r in quality.judge(documents(spark, rows), table).collect()}
+    assert not any(out[i].kept for i in range(0, 4350, 10)) and sum(not out[i].kept for i in range(4350) if i % 10) < 30
+    assert all(out[i].kept for i in range(4350, 4500))  # a stratum with too few labels rejects by the base alone
     assert not out[9000].kept and out[9001].kept
     none = quality.judge(documents(spark, rows[:50]), spark.createDataFrame([], "doc_id long, quality int"))
     assert none.filter("kept").count() == 50
-    assert quality.judge(documents(spark, rows).limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+    assert quality.judge(documents(spark, rows).limit(0), table).count() == 0
 
 
 def test_raking_meets_targets_and_budget(spark):
@@ -114,6 +151,8 @@ def test_mix_odd_rows(spark):
     assert all(r.p == 0 and not r.sampled for r in out if r.n_tokens == 0)
     assert len({r.sampled for r in out if r.doc_id == 4 and r.lang == "en"}) <= 1
     assert mixing.mix(documents(spark, rows).limit(0)).count() == 0
+    named = mixing.mix(documents(spark, rows, "topic string, tokens string"), topic=F.concat(F.lit("t"), F.length("text") % 2)).collect()
+    assert {r.topic for r in named} == {None, "t0", "t1"} and len(named) == len(rows)
 
 
 def test_license_scan_against_all_pairs(spark):
