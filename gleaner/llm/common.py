@@ -83,8 +83,8 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def meet(rows: DataFrame, table: DataFrame, key: str, deal: Column, total: int) -> DataFrame:
-    """rows joined to table on key. table has one row for each key and in size
+def meet(rows: DataFrame, table: DataFrame, key: str, deal: Column, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to table on key. table has one row for each key and in size
     (which goes) how many rows may have it, total being at least their sum. The
     rows of a key of more than HOT_ROWS are dealt over several tasks by the
     number `deal`, each with a copy of the key's row. There are at most
@@ -95,7 +95,7 @@ def meet(rows: DataFrame, table: DataFrame, key: str, deal: Column, total: int)
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     dealt = dealt.withColumn("_way", F.coalesce(F.pmod(deal, F.col("_ways")), F.lit(0)).cast("int")).drop("_hot", "_ways")
     shown = table.withColumn("_way", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), ways) - 1))).drop("size")
-    return dealt.join(shown, [key, "_way"]).drop("_way")
+    return dealt.join(shown, [key, "_way"], how).drop("_way")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

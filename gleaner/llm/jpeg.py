@@ -26,17 +26,22 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import pieces
+
 BLOCK = 64
 #: Bands of AC coefficients that get scans of their own.
 BANDS = ((1, 5), (6, 63))
 MOST_ROWS = 4095  # of 16 lines
+#: Whole numbers in the inverse transform and the colour conversion stand for that share of one.
+UNIT = 1 << 16
+#: Bytes of texts that are worked on together.
+PIECE = 1_000_000
 
 
 @cache
@@ -47,10 +52,12 @@ def zigzag() -> np.ndarray:
 
 @cache
 def inverse() -> np.ndarray:
-    """Zigzag coefficients (64) times this matrix are samples (64), by rows."""
+    """Zigzag coefficients (64) times this matrix are samples (64), by rows, times
+    UNIT. Its numbers are whole and their sums below 2 to the 53rd, so a product
+    of doubles is exact and the same on every machine."""
     u, x = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
     c = np.where(u == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * u * np.pi / 16)
-    return np.einsum("ua,vb->uvab", c, c).reshape(64, 64)[zigzag()].astype(np.float32)
+    return np.rint(np.einsum("ua,vb->uvab", c, c).reshape(64, 64)[zigzag()] * UNIT)
 
 
 def segment(marker: int, data: bytes) -> bytes:
@@ -401,26 +408,23 @@ class Reader:
         return np.where(value < 0, value + 255, value).astype(np.uint8).tobytes()[:length]
 
     def rgb(self) -> np.ndarray:
-        """The image at full resolution, (height, width, 3) of uint8."""
+        """The image at full resolution, (height, width, 3) of uint8. Whole
+        numbers throughout: the same on every machine."""
         planes = []
         for p in self.parts:
-            samples = (p.blocks * self.quant[p.quant]).reshape(-1, 64).astype(np.float32) @ inverse()
-            plane = np.clip(samples + 128, 0, 255).reshape(p.rows, p.columns, 8, 8).transpose(0, 2, 1, 3).reshape(8 * p.rows, 8 * p.columns)
+            samples = (p.blocks * self.quant[p.quant]).reshape(-1, 64).astype(np.float64) @ inverse()
+            samples = np.clip(np.floor(samples / UNIT + 128.5), 0, 255).astype(np.int32)
+            plane = samples.reshape(p.rows, p.columns, 8, 8).transpose(0, 2, 1, 3).reshape(8 * p.rows, 8 * p.columns)
             planes.append(plane.repeat(self.down // p.down, axis=0).repeat(self.across // p.across, axis=1)[: self.height, : self.width])
         if len(planes) == 1:
             planes = [planes[0], np.full_like(planes[0], 128), np.full_like(planes[0], 128)]
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-        out = np.empty((*y.shape, 3), np.float32)
-        out[:, :, 0] = y + 1.402 * cr
-        out[:, :, 1] = y - 0.344136 * cb - 0.714136 * cr
-        out[:, :, 2] = y + 1.772 * cb
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
-
-
-def feature_of(rgb: np.ndarray) -> str:
-    """Size, mean colour and checksum of a tensor."""
-    total = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) / max(1, rgb.shape[0] * rgb.shape[1])
-    return f"{rgb.shape[1]}x{rgb.shape[0]};" + ",".join(f"{x:.3f}" for x in total) + f";{crc32(rgb.tobytes()):08x}"
+        share = lambda x: round(x * UNIT)
+        out = np.empty((*y.shape, 3), np.int32)
+        out[:, :, 0] = y + (share(1.402) * cr + UNIT // 2 >> 16)
+        out[:, :, 1] = y - (share(0.344136) * cb + share(0.714136) * cr + UNIT // 2 >> 16)
+        out[:, :, 2] = y + (share(1.772) * cb + UNIT // 2 >> 16)
+        return np.clip(out, 0, 255).astype(np.uint8)
 
 
 def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -428,44 +432,51 @@ def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                raw = [x or b"" for x in part.column("bytes").to_pylist()]
+            texts = [x or b"" for x in batch.column("bytes").to_pylist()]
+            for at, end in pieces(texts, PIECE):
+                raw = texts[at:end]
                 media = [write(x + b"\0" * (-len(x) % BLOCK if x else BLOCK)) for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("bytes"))
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_column)
 
 
-def load(stored: DataFrame, tensors: bool = False, media_column: str = "media") -> DataFrame:
-    """Replaces each file by its payload and feature, and by its tensor (rgb,
-    height, width) if asked for; other columns stay."""
+def load(stored: DataFrame, media_column: str = "media") -> DataFrame:
+    """Replaces each file by its payload and its full-resolution tensor: rgb
+    (height x width x 3 bytes, by rows), height, width, and the tensor's sums by
+    colour; other columns stay."""
     names = [c for c in stored.columns if c != media_column]
-    more = ["rgb", "height", "width"] if tensors else []
+    kinds = {"payload": pa.binary(), "rgb": pa.binary(), "height": pa.int32(), "width": pa.int32(), "sums": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            files = batch.column(media_column).to_pylist()
+            for at, end in pieces(files, PIECE):
                 rows = []
-                for data in part.column(media_column).to_pylist():
+                for data in files[at:end]:
                     reader = Reader(data)
                     rgb = reader.rgb()
-                    rows.append((reader.payload(), feature_of(rgb), *((rgb.tobytes(), *rgb.shape[:2]) if tensors else ())))
-                columns = zip(*rows, strict=True)
-                kinds = [pa.binary(), pa.string(), pa.binary(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], [*names, "payload", "feature", *more])
+                    rows.append((reader.payload(), rgb.tobytes(), *rgb.shape[:2], rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True))], [*names, *kinds])
+
+    schema = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in names)
+    return stored.mapInArrow(run, f"{schema}, payload binary, rgb binary, height int, width int, sums array<long>")
+
 
-    schema = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in names) + ", payload binary, feature string" + (", rgb binary, height int, width int" if tensors else "")
-    return stored.mapInArrow(run, schema)
+def feature_of(tensor: str = "rgb") -> Column:
+    """Size, mean colour and checksum of a tensor column."""
+    mean = [F.format_number(F.get("sums", F.lit(i)) / (F.col("height") * F.col("width")), 3) for i in range(3)]
+    return F.concat_ws(";", F.concat_ws("x", "width", "height"), F.concat_ws(",", *mean), F.lpad(F.lower(F.hex(F.crc32(tensor))), 8, "0"))
 
 
 def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Stores every text, reads it back, and digests both forms."""
+    """Stores every text, reads it back, and digests both forms; the tensors stay
+    as columns rgb, height and width."""
     stored = store(docs, id_column, text_column).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     return load(stored).select(
         id_column, "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+        F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"), "media_bytes", "media_sha256", feature_of().alias("feature"), "height", "width", "rgb",
     )

@@ -9,30 +9,39 @@ record as its own gzip member, and writes a sidecar index of offsets, so that
 any record can be fetched alone. Archives and indexes are rows of binary columns
 in tables in the shared folder, which every executor can read by any path.
 
-Records, digests and who refers to whom are settled with DataFrame operations
-(a partial aggregation by digest and a join); a payload shared by a third of all
-pages is one row of the aggregate.
+A record's block is the HTTP response; a revisit has its head only. Record ids
+are UUIDs worked out from the page id (X-Page-ID), payload digests are SHA-1 in
+base 32, as other readers expect.
 
-Defined results: a null html is an empty payload; a null id is written as an
-empty page id, comes back as null, and is never referred to while its payload
-has another id. Rows that repeat an id and payload: each is written; those that
-hold the largest id are responses. Empty tables give no archives and no rows.
+Records, digests and who refers to whom are settled with DataFrame operations
+(a partial aggregation by digest and a join, in which the rows of a payload that
+a third of all pages share are dealt over several tasks).
+
+Defined results: a null html is an empty payload, a null url an empty one; a null
+id is written without a page id, comes back as null, and is never referred to
+while its payload has another id. Rows that repeat an id and payload: each is
+written (under one record id); those that hold the largest id are responses.
+Empty tables give no archives and no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import io
 import re
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small, stage_table
+from gleaner.llm.common import BROADCAST_ROWS, meet, scratch, stage_table
 
 REVISIT_FROM, ARCHIVE_BYTES, LEVEL = 1000, 8_000_000, 3
+NO_URL = "about:blank"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,29 +49,40 @@ def planned(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """(id, url, payload, digest, size, refers_to)."""
     payload = F.coalesce(F.col(html_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.length("payload").cast("long")})
-    copies = rows.filter(F.col("size") >= REVISIT_FROM).select("id", "digest", "size").groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # digests that repeat are few as a rule: then no payload is shuffled
-    again = rows.join(small(stage_table(copies, "warc-copies")), (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
-    return again.select("id", "url", "payload", "digest", "size", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
-
-
-def record(page: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One WARC record. A revisit has no payload of its own."""
-    body = b"" if refers_to is not None else payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    copies = rows.filter(F.col("size") >= REVISIT_FROM).select("id", "digest").groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    copies = stage_table(copies, "warc-copies")
+    kinds, copied = copies.agg(F.count(F.lit(1)), F.sum("size")).first()
+    rows = rows.withColumnRenamed("size", "bytes")
+    if kinds <= BROADCAST_ROWS:  # few digests repeat, as a rule: then no payload is shuffled
+        again = rows.join(F.broadcast(copies.drop("size")), "digest", "left")
+    else:
+        again = meet(rows, copies, "digest", F.monotonically_increasing_id(), copied, "left")
+    return again.select("id", "url", "payload", "digest", F.col("bytes").alias("size"), F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+
+
+def record_id(page: str | None) -> str:
+    return f"<urn:uuid:{uuid4() if page is None else uuid5(NAMESPACE_URL, f'page:{page}')}>"
+
+
+def record(page: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC record; digest in hexadecimal. A revisit has no payload of its own."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    body = http + payload if refers_to is None else http
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url or NO_URL}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
+    if page is not None:
+        head.append(f"X-Page-ID: {page}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
+        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     lines = [re.sub(r"[\r\n]", " ", h) for h in head]
-    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
+    return "\r\n".join([*lines, "", ""]).encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
 def pack(rows: DataFrame, size: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, content): monolithic gzip files of planned rows."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from uuid import uuid4
-
         def emit():
             out.write(deflate.flush())
             return pa.RecordBatch.from_arrays([pa.array([uuid4().hex]), pa.array([out.getvalue()], pa.binary())], ["archive", "content"])
@@ -70,8 +90,8 @@ def pack(rows: DataFrame, size: int = ARCHIVE_BYTES) -> DataFrame:
         out, deflate, held = io.BytesIO(), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
         for batch in batches:
             for row in batch.to_pylist():
-                name = "" if row["id"] is None else str(row["id"])
-                data = record(name, row["url"], row["payload"], row["digest"], None if row["refers_to"] is None else str(row["refers_to"]))
+                page, other = (None if row[c] is None else str(row[c]) for c in ("id", "refers_to"))
+                data = record(page, row["url"], row["payload"], row["digest"], other, date)
                 out.write(deflate.compress(data))
                 held += len(data)
                 if held >= size:
@@ -163,17 +183,18 @@ def fetch(archives: DataFrame, id_type: str = "long") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        page = lambda x: re.fullmatch(r"<urn:page:(.*)>", x)[1] or None if x else None
         for batch in batches:
             for content, offsets in zip(batch.column("content"), batch.column("offsets").to_pylist(), strict=True):
                 content, rows = content.as_buffer(), []
                 for at in offsets:
-                    fields, body = fields_of(zlib.decompress(content.slice(at["start"], at["length"]), 31))
-                    revisit = fields["warc-type"] == "revisit"
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                    fields, block = fields_of(zlib.decompress(content.slice(at["start"], at["length"]), 31))
+                    http, _, body = block.partition(b"\r\n\r\n")
+                    revisit, url = fields["warc-type"] == "revisit", fields["warc-target-uri"]
+                    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                     if not revisit and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"{at['record_id']}: the payload differs from its digest")
-                    rows.append((page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], None if revisit else body, int(fields["x-payload-length"]) if revisit else len(body), digest, page(fields.get("warc-refers-to"))))
+                    size = int(re.search(rb"(?i)\nContent-Length: (\d+)", http)[1])
+                    rows.append((fields.get("x-page-id"), "" if url == NO_URL else url, fields["warc-type"], None if revisit else body, size, digest, fields.get("x-refers-to-page-id")))
                 kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
@@ -185,6 +206,8 @@ def fetch(archives: DataFrame, id_type: str = "long") -> DataFrame:
 def round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Writes pages as monolithic archives, normalises them, and reads every
     record back by its index."""
-    packed = stage_table(pack(planned(pages, id_column, url_column, html_column)), "warc-whole")
-    members = stage_table(normalise(packed), "warc-members")
+    with scratch() as made:
+        packed = stage_table(pack(planned(pages, id_column, url_column, html_column)), "warc-whole")
+        members = stage_table(normalise(packed), "warc-members")
+        made.release(members)
     return fetch(members, pages.schema[id_column].dataType.simpleString())
