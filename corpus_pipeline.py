@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, jaccard, mixing, quality, toxicity
-from gleaner.llm.common import read, small, stage_table
+from gleaner.llm.common import read, scratch, small, stage_table
 from gleaner.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -89,6 +89,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch() as made:
+        for name, stage in STAGES:
+            docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.release(docs)  # what the stage wrote on its way, and the table before it
     return docs
