@@ -30,6 +30,7 @@ class Settings:
     ann_candidates: int = 12
     min_similarity: float = 0.30
     use_hybrid: bool = True
+    use_lsh: bool = False
     use_reranker: bool = True
     compress_evidence: bool = True
     rerank_low: float = 0.34
@@ -64,9 +65,14 @@ class Settings:
         return Sizes(self.child_target, self.child_min, self.child_max, self.overlap_sentences, self.parent_target, self.parent_min, self.parent_max, self.group_min, self.group_max)
 
     @classmethod
-    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "GLEANER_") -> Settings:
-        """Values by upper-case name; what can't be read keeps its default."""
+    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "GLEANER_", dotenv: str | None = None) -> Settings:
+        """Values by upper-case name; what can't be read keeps its default.
+        dotenv: a file of NAME=value lines for what the environment leaves open."""
         env, found = os.environ if env is None else env, {}
+        if dotenv and os.path.exists(dotenv):
+            with open(dotenv, encoding="utf-8") as file:
+                lines = [line.strip().partition("=") for line in file if "=" in line and not line.lstrip().startswith("#")]
+            env = {name.removeprefix("export ").strip(): value.strip().strip("\"'") for name, _, value in lines} | dict(env)
         for f in fields(cls):
             raw = env.get(prefix + f.name.upper())
             if raw is None:

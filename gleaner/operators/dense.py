@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.frames import small, top
+from gleaner.functions.frames import small, staged, top
 
 SCALE, SEED = 6, 42
 #: Query vectors that are sent to every task at once; more are asked in blocks. Scores that a task holds at once.
@@ -55,12 +55,23 @@ def _best(asked: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
             step = max(1, MOST_SCORES // len(ids))
             for at in range(0, len(names), step):
                 found = np.round(np.clip(rows @ matrix[at : at + step].T, -1, 1), SCALE)
-                best = np.lexsort((np.broadcast_to(ids[:, None], found.shape), -found), axis=0)[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names[at : at + step], len(best))), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(found, best, axis=0).ravel())], ["query_id", "chunk_id", "score"])
+                row, column = best_of(found, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at + column]), pa.array(ids[row]), pa.array(found[row, column])], ["query_id", "chunk_id", "score"])
 
     return vectors.select("chunk_id", "vector").mapInArrow(run, "query_id long, chunk_id long, score double")
 
 
+def best_of(found: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores of each column, ties by id. Only
+    what reaches a column's k-th best score is sorted."""
+    least = np.partition(found, len(found) - k, axis=0)[len(found) - k] if len(found) > k else np.full(found.shape[1], -np.inf)
+    row, column = np.nonzero(found >= least)
+    order = np.lexsort((ids[row], -found[row, column], column))
+    row, column = row[order], column[order]
+    place = np.arange(len(column)) - np.searchsorted(column, column)
+    return row[place < k], column[place < k]
+
+
 def merged(hits: DataFrame, k: int | None = None) -> DataFrame:
     """The best score of each chunk over a query's variants"""
     best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
@@ -90,31 +101,47 @@ def signatures(vectors: DataFrame, dim: int, count: int | None = None) -> DataFr
     return vectors.mapInArrow(run, f"{schema}, sig long")
 
 
-def probes(count: int) -> list[tuple[int, int]]:
-    """(order, mask): the own bucket, then one flipped bit, then two."""
+def probes(count: int) -> np.ndarray:
+    """Masks in order: the own bucket, then one flipped bit, then two."""
     one = [1 << i for i in range(count)]
     two = [1 << i | 1 << j for i in range(count) for j in range(i + 1, count)]
-    return list(enumerate([0, *one, *two]))
+    return np.array([0, *one, *two], np.int64)
 
 
-def lsh(queries: DataFrame, signed: DataFrame, dim: int, k: int = 48, count: int | None = None) -> DataFrame:
-    """Buckets are probed in order until they hold max(6 k, 30) vectors;
-    if all within two bits hold fewer, the nearest by Hamming distance (then by
-    id) fill up. Candidates are ranked by their exact score."""
+def lsh(queries: DataFrame, signed: DataFrame, dim: int, k: int = 48, count: int | None = None, target: int | None = None) -> DataFrame:
+    """Buckets are probed in order until they hold `target` vectors (the
+    rule's max(6 k, 30) unless another is asked for); if all within two bits hold
+    fewer, the nearest 2 target by Hamming distance (then by id) are taken.
+    Candidates are ranked by their exact score. Tasks get the sizes of all
+    buckets, at most one for each of the 2 ** count signatures."""
     normals = len(planes(dim, count))
-    spark = signed.sparkSession
-    size = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    asked = signatures(queries.select("query_id", "vector"), dim, count).withColumnRenamed("sig", "query_sig")
-    order = F.broadcast(spark.createDataFrame(probes(normals), "probe int, mask long"))
-    total = signed.agg(F.count(F.lit(1)).alias("total"))
-    target = F.least(F.col("total"), F.lit(max(6 * k, 30)))
-    walk = asked.select("query_id", "query_sig").crossJoin(order).withColumn("sig", F.col("query_sig").bitwiseXOR(F.col("mask"))).join(small(size), "sig", "left").crossJoin(F.broadcast(total))
-    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("query_id").orderBy("probe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    walk = walk.withColumn("before", before)
-    taken = walk.filter((F.col("before") < target) & F.col("n").isNotNull()).select("query_id", "sig")
-    short = walk.groupBy("query_id", "query_sig", "total").agg(F.sum("n").alias("held")).filter(F.coalesce("held", F.lit(0)) < target).select("query_id", "query_sig", (2 * target).alias("fill"))
-    near = signed.select("chunk_id", "sig").crossJoin(F.broadcast(short)).withColumn("far", F.bit_count(F.col("sig").bitwiseXOR(F.col("query_sig"))))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "chunk_id"))).filter("r <= fill").select("query_id", "chunk_id")
-    found = signed.select("chunk_id", "sig").join(F.broadcast(taken), "sig").select("query_id", "chunk_id").union(near).distinct()
-    scored = found.join(signed.select("chunk_id", "vector"), "chunk_id").join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))), "query_id")
-    return top(scored.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("vector"), F.col("q")))), SCALE).alias("score")), k, "score")
+    found = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sigs, sizes = found.column("sig").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(sigs)
+    sigs, sizes = sigs[order], sizes[order]
+    target = min(int(sizes.sum()), target or max(6 * k, 30))
+    masks = probes(normals)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, sig in zip(batch.column("query_id").to_pylist(), batch.column("sig").to_pylist(), strict=True):
+                sought = sig ^ masks
+                at = np.minimum(np.searchsorted(sigs, sought), max(0, len(sigs) - 1))
+                held = np.where(sigs[at] == sought, sizes[at], 0) if len(sigs) else np.zeros(len(sought), np.int64)
+                if held.sum() >= target:
+                    rows += [(name, int(s), -1) for s in sought[(np.cumsum(held) - held < target) & (held > 0)]]
+                else:
+                    far = np.bitwise_count(sigs ^ sig)
+                    inner = np.bincount(far, weights=sizes, minlength=normals + 1).cumsum()
+                    radius = int(np.searchsorted(inner, 2 * target)) if len(sigs) else 0
+                    rows += [(name, int(s), int(d)) for s, d in zip(sigs[far <= radius], far[far <= radius], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["query_id", "sig", "far"])
+
+    asked = signatures(queries.select("query_id", "vector"), dim, count)
+    places = staged(asked.mapInArrow(walk, "query_id long, sig long, far int"), "probes")
+    near = signed.select("chunk_id", "sig", "vector").join(small(places), "sig").join(small(queries.select("query_id", F.col("vector").alias("q"))), "query_id")
+    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("vector"), F.col("q")))), SCALE)
+    scored = near.select("query_id", "chunk_id", "far", score.alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "chunk_id"))
+    return top(scored.withColumn("place", place).filter((F.col("far") < 0) | (F.col("place") <= 2 * target)).select("query_id", "chunk_id", "score"), k, "score")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from typing import Protocol
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 
 
+#: Features whose digests a worker remembers before it starts anew.
+FEATURES_KEPT = 500_000
+
+
 class Embedder(Protocol):
     """Made once in each worker process; gives one row for each text."""
 
@@ -27,14 +31,23 @@ class HashingEmbedder:
     """Signed counts of words and word pairs in hashed places."""
 
     def __init__(self, dim: int = 256):
-        self.dim = dim
+        self.dim, self.known = dim, {}
+
+    def code(self, feature: str) -> int:
+        """The first four bytes of the feature's digest; remembered, up to a bound."""
+        found = self.known.get(feature)
+        if found is None:
+            if len(self.known) >= FEATURES_KEPT:
+                self.known.clear()
+            found = self.known[feature] = int.from_bytes(md5(feature.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4], "big")
+        return found
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts, strict=True):
             words = text.casefold().split()
             for feature in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-                code = crc32(feature.encode("utf-8", "surrogatepass"))
+                code = self.code(feature)
                 row[code % self.dim] += 1 if code >> 31 else -1
         return out
 
@@ -65,11 +78,19 @@ def payload(children: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.withColumn("payload", F.when(head == "", F.col("content")).otherwise(F.concat_ws("\n", head, "content")))
 
 
-def pair_scores(score: Callable[[list[tuple[str, str]]], list[float]]):
+class PairModel(Protocol):
+    """Made once in each worker process; raw scores of (question, payload) pairs."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def pair_scores(make: Callable[[], PairModel]):
     """E5's model as a column function of (question, payload); scores are raw."""
 
     @F.pandas_udf("double")
-    def run(questions: pd.Series, payloads: pd.Series) -> pd.Series:
-        return pd.Series(score(list(zip(questions, payloads, strict=True))), dtype="float64")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = make()
+        for questions, payloads in batches:
+            yield pd.Series(score(list(zip(questions, payloads, strict=True))), dtype="float64")
 
     return run

@@ -5,11 +5,14 @@ Hits are (query_id, chunk_id, score). All windows are partitioned by query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.frames import BROADCAST_ROWS, top
+from gleaner.functions.unicode import terms
 
 RRF_K, FUSED, MIN_SIMILARITY, MIN_LEXICAL, SCALE = 60, 96, 0.30, 0.03, 9
 
@@ -44,9 +47,9 @@ def hydrate(fused: DataFrame, chunks: DataFrame, keep: tuple[str, ...] = ("conte
     return chunks.select("chunk_id", *keep).join(F.broadcast(fused) if bounded else fused, "chunk_id")
 
 
-def relevant(scored: DataFrame) -> DataFrame:
+def relevant(scored: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """F4"""
-    return scored.filter(~((F.col("dense_score") < MIN_SIMILARITY) & (F.col("sparse_score") <= 0) & (F.col("lexical_score") < MIN_LEXICAL)))
+    return scored.filter(~((F.col("dense_score") < min_similarity) & (F.col("sparse_score") <= 0) & (F.col("lexical_score") < MIN_LEXICAL)))
 
 
 def fallback_rerank():
@@ -76,17 +79,24 @@ def final_score():
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), SCALE)
 
 
-def score(fused: DataFrame, chunks: DataFrame, questions: DataFrame, keep: tuple[str, ...] = ("content", "parent_key"), content: str = "content") -> DataFrame:
-    """F2 to F8 with the fallback reranker."""
-    asked = questions.select("query_id", F.array_distinct(T.terms("text")).alias("query_terms"))
+def score(fused: DataFrame, chunks: DataFrame, questions: DataFrame, keep: tuple[str, ...] = ("content", "parent_key"), content: str = "content", min_similarity: float = MIN_SIMILARITY, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """F2 to F8. rerank: a pair model as a function of the columns question and
+    payload (embed.pair_scores); without one, the fallback. Its payload is made
+    of the columns section_path, parent_title, parent_content and content."""
+    asked = questions.select("query_id", F.array_distinct(terms("text")).alias("query_terms"), F.col("text").alias("question"))
     few = len(questions.select(F.lit(1)).take(BROADCAST_ROWS // FUSED + 1)) <= BROADCAST_ROWS // FUSED
     hits = with_maxima(fused)
     # one row for each chunk, so that its text is read and cut into terms once
     packed = hits.groupBy("chunk_id").agg(F.collect_list(F.struct(*[c for c in hits.columns if c != "chunk_id"])).alias("hits"))
-    rows = hydrate(packed, chunks, keep, few).withColumn("own_terms", F.array_distinct(T.terms(content)))
+    rows = hydrate(packed, chunks, keep, few).withColumn("own_terms", F.array_distinct(terms(content)))
     rows = rows.select("chunk_id", *keep, "own_terms", F.inline("hits")).join(F.broadcast(asked) if few else asked, "query_id")
-    rows = rows.withColumn("lexical_score", T.lexical_overlap(F.col("query_terms"), F.col("own_terms"))).drop("query_terms", "own_terms")
-    return relevant(rows).withColumn("rerank_score", fallback_rerank()).withColumn("final_score", final_score())
+    rows = relevant(rows.withColumn("lexical_score", T.lexical_overlap(F.col("query_terms"), F.col("own_terms"))).drop("query_terms", "own_terms"), min_similarity)
+    if rerank is None:
+        rows = rows.withColumn("rerank_score", fallback_rerank())
+    else:
+        payload = rerank_payload(F.col("section_path"), F.col("parent_title"), F.col("parent_content"), F.col("content"))
+        rows = bounded_scores(rows.withColumn("raw", rerank(F.col("question"), payload))).drop("raw")
+    return rows.drop("question").withColumn("final_score", final_score())
 
 
 def unique_parents(scored: DataFrame, k: int = 10) -> DataFrame:

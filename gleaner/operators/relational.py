@@ -22,7 +22,8 @@ def _text(name: str):
 
 def joined(chunks: DataFrame, documents: DataFrame, mapping: DataFrame, parents: DataFrame) -> DataFrame:
     """Chunks with their document and, if there is one, their parent."""
-    d = documents.select("document_id", "source_name", "subject", "chapter", F.coalesce("title", F.lit("")).alias("title"))
+    more = [c for c in ("source_path", "file_type", "doc_type", "grade", "published_year", "source") if c in documents.columns]
+    d = documents.select("document_id", "source_name", "subject", "chapter", F.coalesce("title", F.lit("")).alias("title"), *more)
     p = parents.select(
         F.col("parent_chunk_id").alias("_parent"), F.col("page_number").alias("parent_page_number"), "parent_index",
         F.col("title").alias("parent_title"), "section_path", F.col("content").alias("parent_content"),

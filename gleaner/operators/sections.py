@@ -15,19 +15,24 @@ def lines(spans: DataFrame, by: tuple[str, ...], text: str = "text") -> DataFram
 
 def split(spans: DataFrame, by: tuple[str, ...] = ("document_id", "page_number"), text: str = "text") -> DataFrame:
     """(by, section_index, title, body). Headings start a group; groups
-    without a body go; a text of headings alone is one section."""
-    order = Window.partitionBy(*by).orderBy("pos")
-    rows = lines(spans, by, text).withColumn("heading", (F.col("line") != "") & T.is_heading("line"))
-    rows = rows.withColumn("part", F.sum(F.col("heading").cast("int")).over(order))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    title = F.coalesce(F.max(F.when(F.col("heading"), T.strip_hashes(F.col("line")))), F.lit("Section"))
-    found = rows.groupBy(*by, "part").agg(title.alias("title"), T.clean_text(body).alias("body"))
-    empty = ~F.max(F.col("body") != "").over(Window.partitionBy(*by)) & (F.row_number().over(Window.partitionBy(*by).orderBy("part")) == 1)
-    whole = spans.select(*[F.col(c).alias(f"_{c}") for c in by], T.clean_text(text).alias("whole"))
-    found = found.withColumn("alone", empty)
-    bodies = found.filter("body != ''").select(*by, "part", "title", "body")
-    alone = found.filter("alone").join(whole, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).filter("whole != ''").select(*by, "part", F.lit("Section").alias("title"), F.col("whole").alias("body"))
-    return bodies.union(alone).withColumn("section_index", F.row_number().over(Window.partitionBy(*by).orderBy("part")) - 1).drop("part")
+    without a body go; a text of headings alone is one section. Each text is
+    worked on in its row: its lines are an array, its sections the slices
+    between headings; nothing is shuffled."""
+    strip_line = lambda x: T.strip(x)
+    rows = spans.select(*by, T.clean_text(text).alias("whole"))
+    rows = rows.select("*", F.transform(F.split("whole", "\n", -1), strip_line).alias("ls"))
+    # places of headings, from 1; 0 stands for what comes before the first
+    heads = F.filter(F.transform("ls", lambda x, i: F.when((x != "") & T.is_heading(x), i + 1)), lambda i: i.isNotNull())
+    rows = rows.select("*", F.concat(F.array(F.lit(0)), heads).alias("heads"))
+    ends = F.concat(F.slice("heads", 2, F.size("heads")), F.array(F.size("ls") + 1))
+    sections = F.zip_with(
+        "heads", ends,
+        lambda at, end: F.struct(F.when(at == 0, F.lit("Section")).otherwise(T.strip_hashes(F.get("ls", at - 1))).alias("title"), T.clean_text(F.array_join(F.slice("ls", at + 1, end - at - 1), "\n")).alias("body")),
+    )
+    rows = rows.select("*", F.filter(sections, lambda x: x["body"] != "").alias("found"))
+    alone = F.when(F.col("whole") != "", F.array(F.struct(F.lit("Section").alias("title"), F.col("whole").alias("body"))))
+    found = F.when(F.size("found") > 0, F.col("found")).otherwise(alone)
+    return rows.select(*by, F.posexplode(found).alias("section_index", "section")).select(*by, "section_index", "section.title", "section.body")
 
 
 def without_page_noise(pages: DataFrame, document: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:

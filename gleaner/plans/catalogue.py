@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions import text as T
-from gleaner.functions.frames import spread
+from gleaner.functions import unicode
+from gleaner.functions.frames import small, spread, staged
 from gleaner.operators import chunking, dense, embed, evidence, fusion, relational, sections, sparse
 
 
@@ -32,6 +33,7 @@ class Tables:
         return self.documents.select(
             F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("lang").alias("subject"), F.lit("").alias("grade"), F.lit("").alias("chapter"),
             F.col("source").alias("parent_key"), F.col("source").alias("parent_title"), F.lit("").alias("section_path"), F.lit("").alias("title"), F.lit("").alias("parent_content"), F.lit("note").alias("doc_type"), F.lit(1).alias("page_number"), name.alias("source_name"),
+            F.concat(F.lit("/"), name).alias("source_path"), F.lit(0).alias("chunk_index"), F.lit("").alias("published_year"), F.col("source"), F.lit(".txt").alias("file_type"), F.lit(None).cast("int").alias("parent_page_number"),
         )
 
     @property
@@ -47,26 +49,26 @@ class Tables:
         """The stated query set of vector searches."""
         return self.vectors.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
 
-    def tokens(self) -> DataFrame:
-        return sparse.tokenised(self.chunks, sparse.blended("subject", "chapter", "parent_title", "section_path", "content"))
+    def index(self, only: DataFrame | None = None, stage: bool = False) -> sparse.Index:
+        return sparse.build(self.chunks, sparse.blended("subject", "chapter", "parent_title", "section_path", "content"), only, stage)
 
     def sparse_hits(self, with_variants: bool = False) -> DataFrame:
-        asked = sparse.query_terms(self.questions)
-        return sparse.search(self.questions, sparse.build(self.tokens().persist(), None if with_variants else asked), 48, with_variants)
+        asked = sparse.query_terms(sparse.variants(self.questions), by=("query_id", "variant")) if with_variants else sparse.query_terms(self.questions)
+        asked = staged(asked, "asked")
+        return sparse.search(asked, self.index(asked, stage=True), 48)
 
     def dense_hits(self) -> DataFrame:
-        vectors = self.vectors.join(F.broadcast(self.questions.select(F.col("query_id").alias("chunk_id"))), "chunk_id", "left_semi")
+        vectors = self.vectors.join(small(self.questions.select(F.col("query_id").alias("chunk_id"))), "chunk_id", "left_semi")
         return dense.exact(vectors.withColumnRenamed("chunk_id", "query_id"), self.vectors, 48)
 
     def fused(self) -> DataFrame:
-        return fusion.rrf(self.dense_hits(), self.sparse_hits())
+        return staged(fusion.rrf(self.dense_hits(), self.sparse_hits()), "fused")
 
     def scored(self) -> DataFrame:
-        keep = ("content", "parent_key", "parent_title", "section_path", "title", "subject", "grade", "chapter", "parent_content", "doc_type", "page_number", "source_name")
-        return fusion.score(self.fused(), self.chunks, self.questions, keep)
+        return fusion.score(self.fused(), self.chunks, self.questions, ("parent_key", *evidence.NEEDED))
 
     def contexts(self) -> DataFrame:
-        return fusion.unique_parents(self.scored(), 10)
+        return staged(fusion.unique_parents(self.scored(), 10), "contexts")
 
     def store(self) -> dict[str, DataFrame]:
         """Stand-ins for the store's tables; one chunk in ten has no parent."""
@@ -136,6 +138,14 @@ def payloads(t: Tables) -> DataFrame:
     return embed.payload(children, docs).select("chunk_id", "payload")
 
 
+def results(t: Tables) -> DataFrame:
+    """Every field of the JSON that clients get, read back from it."""
+    rows = t.contexts().select("query_id", "place", evidence.serialised().alias("j"))
+    rounded = {"similarity", "lexical_score", "dense_score", "sparse_score", "rrf_score", "rerank_score", "final_score"}
+    read = lambda name: F.get_json_object("j", f"$.{name}")
+    return rows.select("query_id", "place", *[F.round(read(n).cast("double"), 6).alias(n) if n in rounded else read(n).alias(n) for n in evidence.FIELDS])
+
+
 def pick(make, *columns: str):
     return lambda t: make(t).select(*columns)
 
@@ -155,10 +165,10 @@ QUERIES = {
     "abbrev_expand": on_documents(out=T.expand_abbreviations),
     "token_count": on_documents(n=T.token_count),
     "tokens_exploded": lambda t: t.documents.select("doc_id", F.posexplode(T.tokens("text")).alias("pos", "token")),
-    "term_freq": lambda t: sparse.build(t.tokens()).postings.select("chunk_id", "term", "tf"),
-    "doc_freq": lambda t: sparse.build(t.tokens()).frequencies(),
-    "corpus_stats": lambda t: sparse.build(t.tokens()).stats().select("n_docs", F.round("mean_length", 6).alias("mean_length")),
-    "sparse_corpus": lambda t: t.tokens().select("chunk_id", F.array_join("terms", " ").alias("terms")),
+    "term_freq": lambda t: t.index().postings.select("chunk_id", "term", "tf"),
+    "doc_freq": lambda t: t.index().frequencies(),
+    "corpus_stats": lambda t: t.index().totals.select("n_docs", F.round("mean_length", 6).alias("mean_length")),
+    "sparse_corpus": lambda t: t.chunks.select("chunk_id", F.array_join(unicode.terms(sparse.blended("subject", "chapter", "parent_title", "section_path", "content")), " ").alias("terms")),
     "sentences": lambda t: t.documents.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence")),
     "sentence_overlap": on_documents(out=T.sentence_overlap),
     "intent": on_documents(intent=T.intent),
@@ -168,15 +178,15 @@ QUERIES = {
     "context_header": lambda t: t.chunks.select("chunk_id", T.context_header(F.col("subject"), F.lit(" Lop 9 "), F.col("chapter"), F.col("parent_key"), F.col("chunk_id") % 3).alias("header")),
     "section_path": lambda t: t.chunks.select("chunk_id", T.section_path(F.upper("parent_key"), F.when(F.col("chunk_id") % 2 == 0, F.col("parent_key")).otherwise(F.col("source_name"))).alias("path")),
     "query_variants": lambda t: t.questions.select("query_id", F.array_join(T.query_variants("text"), "|").alias("variants")),
-    "heading_lines": lambda t: sections.lines(markdown(t.read("pages")), ("document_id",)).select("document_id", "pos", T.is_heading("line").alias("heading")),
+    "heading_lines": lambda t: sections.lines(markdown(spread(t.read("pages"))), ("document_id",)).select("document_id", "pos", T.is_heading("line").alias("heading")),
     "parent_title": lambda t: t.chunks.select("chunk_id", T.parent_title("content", F.when(F.col("chunk_id") % 2 == 0, F.lit("Section")).otherwise(F.col("source_name"))).alias("title")),
     "trim_summary": on_documents(out=T.trim_summary),
-    "sections": lambda t: sections.split(markdown(t.read("pages"))).select("document_id", "section_index", "title", "body"),
+    "sections": lambda t: sections.split(markdown(spread(t.read("pages")))).select("document_id", "section_index", "title", "body"),
     "page_noise": lambda t: sections.without_page_noise(spans(t)),
     "chunks_children": pick(tiers, "document_id", "chunk_index", "parent_index", "content"),
     "chunks_parents": lambda t: tiers(t).select("document_id", "parent_index", "title", "section_path", "keywords", "parent_content").distinct(),
     "embed_payload": payloads,
-    "hashed_embedding": lambda t: embed.embed(t.chunks, "content").select("chunk_id", F.round(dense.dot(F.col("vector"), F.col("vector")), 4).alias("norm")),
+    "hashed_embedding": lambda t: embed.embed(t.chunks, "content").select("chunk_id", F.posexplode("vector").alias("pos", "x")).select("chunk_id", "pos", F.col("x").cast("double").alias("x")).filter("x <> 0"),
     "l2_normalize": lambda t: t.vectors.select("chunk_id", F.posexplode(dense.normalised(F.transform("vector", lambda x: x.cast("double") * 3))).alias("pos", "x")).select("chunk_id", "pos", F.round("x", 6).alias("x")),
     "dense_topk": lambda t: dense.exact(t.asked_vectors, t.vectors, 48),
     "dense_multi_variant_max": lambda t: dense.merged(dense.exact(t.asked_vectors, t.vectors, 48).withColumn("query_id", F.col("query_id") % 100), 48),
@@ -200,7 +210,7 @@ QUERIES = {
     "evidence_sentences": lambda t: evidence.evidence(evidence.budget(t.contexts(), T.token_count("content")), t.questions),
     "context_blocks": lambda t: evidence.rendered(t.contexts()),
     "local_facts": lambda t: evidence.facts(t.contexts()),
-    "result_json": lambda t: t.contexts().select("query_id", "place", F.get_json_object(evidence.serialised(), "$.source_name").alias("source_name"), F.get_json_object(evidence.serialised(), "$.location_label").alias("label")),
+    "result_json": lambda t: results(t),
     "hydrate_join": hydrated,
     "list_documents": lambda t: relational.listing(t.store()["documents"], t.store()["chunks"].filter("chunk_id % 5 <> 0")).select("document_id", "source_name", "chunk_count"),
     "count_chunks": lambda t: t.store()["chunks"].agg(F.count(F.lit(1)).alias("n")),

@@ -230,11 +230,27 @@ def facts() -> str:
 
 def rendered() -> str:
     clip = lambda n: f"CASE WHEN length({strip('content')}) > {n} THEN {strip('content')}[1:{n}] || '...' ELSE {strip('content')} END"
-    points = " || ' / ' || ".join(f"printf('%.3f', {c}_score - 1e-9)" for c in ("dense", "sparse", "rrf", "rerank"))
+    points = " || ' / ' || ".join(f"printf('%.3f', {c}_score)" for c in ("dense", "sparse", "rrf", "rerank"))
     lines = ["'[Nguon ' || place || ']'", "'File: ' || source_name", "'Tieu de: ' || source_name", "'Mon/Lop/Chuong: ' || subject || ' / - / -'", "'Trang: 1'", "'Section: ' || parent_key", f"'Diem Dense/Sparse/RRF/Rerank: ' || {points}", f"'Doan child: ' || {clip(420)}", f"'Noi dung parent: ' || {clip(950)}"]
     return hybrid(f"SELECT query_id, string_agg({' || chr(10) || '.join(lines)}, chr(10) || chr(10) ORDER BY place) AS context_text FROM ctx GROUP BY query_id", CONTEXTS)
 
 
+def hashed() -> str:
+    """Signed counts of words and word pairs by their MD5 digests, to unit length."""
+    return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({folded("text")}, '{WS}+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT doc_id, unnest(ws) AS feature FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+c AS (SELECT doc_id, ('0x' || substr(md5(feature), 1, 8))::BIGINT AS code FROM f),
+v AS (SELECT doc_id, (code % 256)::INT AS pos, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS x FROM c GROUP BY ALL)
+SELECT doc_id AS chunk_id, pos, (x::FLOAT / sqrt(sum(x * x) OVER (PARTITION BY doc_id))::FLOAT)::DOUBLE AS x FROM v WHERE x <> 0"""
+
+
+def result() -> str:
+    text = {"source_path": "'/' || source_name", "page_number": "'1'", "location_number": "'1'", "location_label": "'page'", "chunk_index": "'0'", "child_content": "content", "parent_title": "parent_key", "section_path": "''", "title": "''", "grade": "''", "chapter": "''", "published_year": "''", "source": "parent_key", "file_type": "'.txt'", "doc_type": "'note'"}
+    number = {"similarity": "dense_score"} | {f"{n}_score": f"{n}_score" for n in ("lexical", "dense", "sparse", "rrf", "rerank", "final")}
+    columns = ", ".join(f"{e} AS {n}" for n, e in text.items()) + ", " + ", ".join(f"round({e}::DOUBLE, 6) AS {n}" for n, e in number.items())
+    return hybrid(f"SELECT query_id, place, source_name, content, subject, {columns} FROM ctx", CONTEXTS)
+
+
 def sql() -> dict[str, str]:
     say = "CASE i " + " ".join(f"WHEN {quoted(k)} THEN {quoted(T.CLARIFY_HEAD + v)}" for k, v in T.CLARIFY.items()) + " END"
     last = f"{sentences('text')}"
@@ -266,7 +282,7 @@ def sql() -> dict[str, str]:
         "sections": SECTIONS,
         "page_noise": NOISE,
         "embed_payload": "SELECT doc_id AS chunk_id, concat_ws(' · ', lang, 'Lop 10', source, 'Trang 1') || chr(10) || text AS payload FROM documents",
-        "hashed_embedding": f"SELECT doc_id AS chunk_id, CASE WHEN {strip('text')} = '' THEN 0.0 ELSE 1.0 END AS norm FROM documents",
+        "hashed_embedding": hashed(),
         "l2_normalize": "WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings) SELECT vec_id AS chunk_id, unnest(range(len(v)))::INT AS pos, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM a",
         "dense_topk": f"WITH a AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) {top('a', 48)}",
         "dense_multi_variant_max": f"WITH a AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), b AS ({top('a', 48)}), m AS (SELECT query_id % 100 AS query_id, chunk_id, max(score) AS score FROM b GROUP BY ALL) {top('m', 48)}",
@@ -293,7 +309,7 @@ m AS (SELECT query_id, chunk_id, max(score) AS score FROM sa WHERE score > 0 GRO
         "evidence_sentences": hybrid("SELECT query_id, rank, score, citation FROM evidence", CONTEXTS, BUDGET, EVIDENCE),
         "context_blocks": rendered(),
         "local_facts": facts(),
-        "result_json": hybrid("SELECT query_id, place, source_name, 'page' AS label FROM ctx", CONTEXTS),
+        "result_json": result(),
         "hydrate_join": f"WITH {STORE} SELECT 100000000 - document_id AS ord, document_id AS chunk_id, source_name, subject, coalesce(title, '') AS parent_title, coalesce(section_path, '') AS section_path, coalesce(content, '') AS parent_content, CASE WHEN title IS NOT NULL THEN 1 END AS parent_page_number FROM dd LEFT JOIN pp ON source = title AND document_id % 10 <> 0 WHERE document_id IN (SELECT vec_id FROM embeddings)",
         "list_documents": "SELECT doc_id AS document_id, source || '_' || doc_id || '.txt' AS source_name, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS chunk_count FROM documents",
         "count_chunks": "SELECT count(*) AS n FROM documents",
