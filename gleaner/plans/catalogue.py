@@ -14,6 +14,8 @@ from gleaner.functions import text as T
 from gleaner.functions import unicode
 from gleaner.functions.frames import small, spread, staged
 from gleaner.operators import chunking, dense, embed, evidence, fusion, relational, sections, sparse
+from gleaner.plans import prompts
+from gleaner.sources import files
 
 
 class Tables:
@@ -157,7 +159,58 @@ def metadata(t: Tables) -> DataFrame:
     return name_of(t).select("chunk_id", T.metadata("name", "content").alias("m")).select("chunk_id", "m.*")
 
 
+def files_of(t: Tables) -> DataFrame:
+    """Each document as a file of one of four kinds, one of them not supported."""
+    kind = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".log", ".bin"))), (F.col("chunk_id") % 4 + 1).cast("int"))
+    found = t.chunks.select("source_path", "source_name", kind.alias("file_type"), F.col("content").cast("binary").alias("content"))
+    return files.spans(found.filter(F.col("file_type").isin(*files.SUPPORTED))).select("source_path", "file_type", "page_number", "text", F.col("error").isNotNull().alias("failed"))
+
+
+def blocks(t: Tables) -> DataFrame:
+    """Documents after a word that makes some of them questions or answers."""
+    head = F.element_at(F.array(*map(F.lit, ("", "Question: ", "DAP AN ", "a list\n- "))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(head, "text")
+    return t.documents.select("doc_id", T.is_question(text).alias("question"), T.is_answer(text).alias("answer"), T.is_protected(text).alias("protected"))
+
+
+def scanned(t: Tables) -> DataFrame:
+    """R2: every chunk with its document and parent, by id."""
+    s = t.store()
+    rows = relational.joined(s["chunks"], s["documents"], s["map"], s["parents"])
+    return rows.orderBy("chunk_id").select("chunk_id", "content", "source_name", "subject", "parent_title", "section_path")
+
+
+def replaced(t: Tables) -> DataFrame:
+    """Every third vector is written anew, turned round."""
+    new = t.vectors.filter("chunk_id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
+    rows = relational.uniform_vectors(relational.replaced(t.vectors, new, "chunk_id"), 64)
+    return rows.select("chunk_id", F.posexplode("vector").alias("pos", "x")).select("chunk_id", "pos", F.col("x").cast("double").alias("x"))
+
+
+def told(t: Tables) -> DataFrame:
+    """What a prompt tells of each question: the gate, the contexts within the budget, their evidence."""
+    contexts = t.contexts()
+    chosen = staged(evidence.budget(contexts, T.token_count("content")), "chosen")
+    judged = evidence.gate(contexts, t.questions).join(small(t.questions), "query_id").withColumn("intent", T.intent("text"))
+    cited = evidence.evidence(chosen, t.questions).groupBy("query_id").agg(evidence.in_order("rank", F.concat(F.lit("- "), "citation"), "\n").alias("citations"))
+    return judged.join(evidence.facts(chosen), "query_id", "left").join(evidence.rendered(chosen), "query_id", "left").join(cited, "query_id", "left")
+
+
 QUERIES = {
+    "text_scan": files_of,
+    "strip_diacritics": on_documents(out=unicode.strip_diacritics_exact),
+    "text_units": lambda t: chunking.unit_rows(t.documents.select(F.col("doc_id").alias("document_id"), T.clean_text("text").alias("text"))),
+    "page_units": lambda t: chunking.unit_rows(markdown(spread(t.read("pages"))).select("document_id", T.clean_text("text").alias("text"))),
+    "block_kinds": blocks,
+    "e5_prefix": on_documents(out=lambda c: T.e5_prefix(c, "intfloat/multilingual-e5-base", "passage")),
+    "chunk_scan": scanned,
+    "replace_vectors": replaced,
+    "vector_scan": lambda t: t.vectors.orderBy("chunk_id").select("chunk_id", F.size("vector").alias("dim")),
+    "path_lookup": lambda t: t.store()["documents"].filter(F.col("source_path") == "/src3_23.txt").select("document_id"),
+    "flat_chunks": lambda t: chunking.flat_rows(t.documents.select(F.col("doc_id").alias("document_id"), "text")),
+    "facts_prompt": lambda t: told(t).select("query_id", prompts.facts_prompt().alias("prompt")),
+    "answer_prompt": lambda t: told(t).select("query_id", prompts.answer_prompt(F.col("facts_text")).alias("prompt")),
+    "local_answer": lambda t: told(t).select("query_id", prompts.local_answer(F.col("facts_text")).alias("answer")),
     "normalize_ws": on_documents(out=T.normalize_whitespace),
     "match_text": on_documents(kept=T.match_text, bare=lambda c: T.match_text(c, False)),
     "ocr_fix": on_documents(out=T.fix_ocr),

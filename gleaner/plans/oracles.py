@@ -6,10 +6,12 @@ groups, each rewrite applied twice where matches can touch.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from gleaner.functions import text as T
 from gleaner.operators import dense
+from gleaner.plans import prompts
 from gleaner.plans.catalogue import MARKS
 
 GAP = r"[\s\p{Z}\x{200B}]"
@@ -222,17 +224,29 @@ def signature() -> str:
     return f"WITH n(bit, normal) AS (VALUES {rows}) SELECT vec_id AS chunk_id, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], normal) >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS sig FROM embeddings, n GROUP BY vec_id"
 
 
-def facts() -> str:
+def facts_sql() -> str:
+    """Aggregate: the local facts of a question's contexts."""
     line = f"'- ' || {summary('content', 240)} || ' [Nguon ' || place || ']'"
-    return hybrid(f"""SELECT query_id, 'FACTS:' || chr(10) || string_agg({line}, chr(10) ORDER BY place) || chr(10) || 'CONFLICTS:' || chr(10) || '- Chua xac dinh mau thuan tu local fallback.' || chr(10) || 'MISSING:' || chr(10) || '- Co the thieu du lieu neu can lap luan sau hon.' AS facts_text,
-  string_agg('- [Nguon ' || place || '] ' || source_name || ' (trang 1)', chr(10) ORDER BY place) AS sources_text FROM ctx GROUP BY query_id""", CONTEXTS)
+    return f"'FACTS:' || chr(10) || string_agg({line}, chr(10) ORDER BY place) || chr(10) || 'CONFLICTS:' || chr(10) || '- Chua xac dinh mau thuan tu local fallback.' || chr(10) || 'MISSING:' || chr(10) || '- Co the thieu du lieu neu can lap luan sau hon.'"
 
 
-def rendered() -> str:
+SOURCES = "string_agg('- [Nguon ' || place || '] ' || source_name || ' (trang 1)', chr(10) ORDER BY place)"
+
+
+def blocks_sql() -> str:
+    """Aggregate: the contexts of a question as a prompt shows them."""
     clip = lambda n: f"CASE WHEN length({strip('content')}) > {n} THEN {strip('content')}[1:{n}] || '...' ELSE {strip('content')} END"
     points = " || ' / ' || ".join(f"printf('%.3f', {c}_score)" for c in ("dense", "sparse", "rrf", "rerank"))
     lines = ["'[Nguon ' || place || ']'", "'File: ' || source_name", "'Tieu de: ' || source_name", "'Mon/Lop/Chuong: ' || subject || ' / - / -'", "'Trang: 1'", "'Section: ' || parent_key", f"'Diem Dense/Sparse/RRF/Rerank: ' || {points}", f"'Doan child: ' || {clip(420)}", f"'Noi dung parent: ' || {clip(950)}"]
-    return hybrid(f"SELECT query_id, string_agg({' || chr(10) || '.join(lines)}, chr(10) || chr(10) ORDER BY place) AS context_text FROM ctx GROUP BY query_id", CONTEXTS)
+    return f"string_agg({' || chr(10) || '.join(lines)}, chr(10) || chr(10) ORDER BY place)"
+
+
+def facts() -> str:
+    return hybrid(f"SELECT query_id, {facts_sql()} AS facts_text, {SOURCES} AS sources_text FROM ctx GROUP BY query_id", CONTEXTS)
+
+
+def rendered() -> str:
+    return hybrid(f"SELECT query_id, {blocks_sql()} AS context_text FROM ctx GROUP BY query_id", CONTEXTS)
 
 
 def hashed() -> str:
@@ -251,11 +265,55 @@ def result() -> str:
     return hybrid(f"SELECT query_id, place, source_name, content, subject, {columns} FROM ctx", CONTEXTS)
 
 
+def unit_rows(source: str) -> str:
+    """Lines classified and paragraphs joined as islands; source gives document_id and a clean text."""
+    formula, heading, bullet = r"[=<>^]|\$.*\$", r"(?i)^(#{1,6}\s+|chuong\s+\d+|chapter\s+\d+|\d+(\.\d+){0,3}\s+)", r"^([-*+]|\d+[.)])\s+"
+    return f"""WITH src AS ({source}),
+a AS (SELECT document_id, i, {strip("line")} AS line FROM (SELECT document_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT document_id, string_split(text, chr(10)) AS ls FROM src))),
+b AS (SELECT *, CASE WHEN line = '' THEN '' WHEN regexp_matches(line, {quoted(heading)}) THEN 'heading' WHEN regexp_matches(line, {quoted(bullet)}) THEN 'bullet'
+  WHEN length(line) < 180 AND regexp_matches(line, {quoted(formula)}) THEN 'formula' ELSE 'paragraph' END AS kind FROM a),
+c AS (SELECT *, CASE WHEN kind = 'paragraph' AND lag(kind) OVER w = 'paragraph' THEN 0 ELSE 1 END AS first FROM b WINDOW w AS (PARTITION BY document_id ORDER BY i)),
+d AS (SELECT *, sum(first) OVER (PARTITION BY document_id ORDER BY i) AS island FROM c),
+e AS (SELECT document_id, island, any_value(kind) AS kind, {spaces("string_agg(line, ' ' ORDER BY i)")} AS unit FROM d GROUP BY document_id, island)
+SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY island) - 1)::INT AS pos, unit, kind FROM e WHERE unit <> ''"""
+
+
+def told(expression: str) -> str:
+    """A text for each question, of what prompts tell (columns as in the catalogue's told())."""
+    return hybrid(
+        f"SELECT query_id, {expression} FROM told", CONTEXTS, GATE, BUDGET, EVIDENCE,
+        f"fx AS (SELECT query_id, {facts_sql()} AS facts, {SOURCES} AS sources, {blocks_sql()} AS contexts FROM budget GROUP BY query_id)",
+        "ci AS (SELECT query_id, string_agg('- ' || citation, chr(10) ORDER BY rank) AS evidence FROM evidence GROUP BY query_id)",
+        f"told AS (SELECT gate.query_id, text AS question, printf('%.3f', gate.confidence) AS confidence, {intent('text')} AS intent, facts, sources, contexts, coalesce(evidence, {quoted(prompts.NO_EVIDENCE)}) AS evidence FROM gate JOIN benchmark ON item_id = gate.query_id LEFT JOIN fx ON fx.query_id = gate.query_id LEFT JOIN ci ON ci.query_id = gate.query_id)",
+    )
+
+
+def template(text: str) -> str:
+    """A prompt with {name} for columns, as SQL."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return " || ".join(quoted(x) if i % 2 == 0 else f"coalesce({x}, '')" for i, x in enumerate(parts))
+
+
 def sql() -> dict[str, str]:
     say = "CASE i " + " ".join(f"WHEN {quoted(k)} THEN {quoted(T.CLARIFY_HEAD + v)}" for k, v in T.CLARIFY.items()) + " END"
     last = f"{sentences('text')}"
     path = lambda a, b: f"CASE WHEN {a} <> '' AND {b} <> '' AND {folded(a)} <> {folded(b)} THEN {a} || ' > ' || {b} WHEN {b} <> '' THEN {b} ELSE {a} END"
+    head = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Question: ' WHEN 2 THEN 'DAP AN ' ELSE 'a list' || chr(10) || '- ' END || text"
+    asks, replies = (f"({' OR '.join(f'starts_with({folded("x")}, {quoted(p)})' for p in starts)})" for starts in (("cau hoi", "question"), ("loi giai", "dap an", "answer")))
     return {
+        "text_scan": f"SELECT '/' || source || '_' || doc_id || '.txt' AS source_path, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.log' END AS file_type, 1 AS page_number, {clean('text')} AS text, false AS failed FROM documents WHERE doc_id % 4 < 3",
+        "strip_diacritics": on_documents(out="strip_accents(text)"),
+        "text_units": unit_rows(f"SELECT doc_id AS document_id, {clean('text')} AS text FROM documents"),
+        "page_units": unit_rows(f"SELECT page_id AS document_id, {clean(page_text())} AS text FROM pages"),
+        "block_kinds": f"SELECT doc_id, {asks} AS question, {replies} AS answer, contains(x, chr(10) || '- ') OR contains(x, chr(10) || '* ') OR {asks} OR {replies} OR regexp_matches(x, '[=<>^]') AS protected FROM (SELECT doc_id, {head} AS x FROM documents)",
+        "e5_prefix": on_documents(out="'passage: ' || text"),
+        "chunk_scan": f"WITH {STORE} SELECT doc_id AS chunk_id, text AS content, source_name, subject, coalesce(title, '') AS parent_title, coalesce(section_path, '') AS section_path FROM documents JOIN dd ON doc_id = document_id LEFT JOIN pp ON dd.source = title AND document_id % 10 <> 0",
+        "replace_vectors": "SELECT vec_id AS chunk_id, unnest(range(64))::INT AS pos, unnest(embedding)::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END AS x FROM embeddings",
+        "vector_scan": "SELECT vec_id AS chunk_id, len(embedding)::INT AS dim FROM embeddings",
+        "path_lookup": "SELECT doc_id AS document_id FROM documents WHERE '/' || source || '_' || doc_id || '.txt' = '/src3_23.txt'",
+        "facts_prompt": told(template(prompts.FACTS) + " AS prompt"),
+        "answer_prompt": told(template(prompts.ANSWER) + " AS prompt"),
+        "local_answer": told(f"CASE WHEN sources IS NULL THEN {quoted(prompts.NO_CONTEXT)} ELSE {template(prompts.LOCAL)} END AS answer"),
         "normalize_ws": on_documents(out=spaces("text")),
         "match_text": on_documents(kept=matched("text"), bare=matched("text", False)),
         "ocr_fix": on_documents(out=ocr("text")),
