@@ -118,8 +118,21 @@ def normalize_whitespace(c: Column | str) -> Column:
     return strip(sub(sub(F.translate(col(c), "\u00a0", " "), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
+@cache
+def folds() -> tuple[str, str]:
+    """Letters that fold to another single letter than their lower case, and that
+    letter (the final sigma, the long s, ...)."""
+    found = {}
+    for code in range(0xA0, 0x10000):
+        low = chr(code).lower()
+        if not 0xD800 <= code < 0xE000 and len(low) == 1 and low.casefold() != low and len(low.casefold()) == 1:
+            found[low] = low.casefold()
+    return "".join(found), "".join(found.values())
+
+
 def casefold(c: Column | str) -> Column:
-    return F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss"))
+    """Case folding but for letters, other than ß, that fold to several"""
+    return F.translate(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), *folds())
 
 
 def match_text(c: Column | str, keep_diacritics: bool = True) -> Column:

@@ -35,6 +35,27 @@ class AnswerModel(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+def chain(*models: Callable[[], AnswerModel]) -> Callable[[], AnswerModel]:
+    """asks models in turn until one says something; one that fails is silent."""
+
+    def make() -> AnswerModel:
+        made = [model() for model in models]
+
+        def ask(prompt: str) -> str:
+            for model in made:
+                try:
+                    said = model(prompt)
+                except Exception:  # an unreachable model must not end the batch
+                    continue
+                if said:
+                    return said
+            return ""
+
+        return ask
+
+    return make
+
+
 @dataclass
 class Answers:
     """One row for each question, and the contexts used."""

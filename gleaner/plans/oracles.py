@@ -36,7 +36,7 @@ def spaces(x: str) -> str:
 
 
 def folded(x: str) -> str:
-    return f"replace(lower({x}), 'ß', 'ss')"
+    return f"translate(replace(lower({x}), 'ß', 'ss'), 'ςſµ', 'σsμ')"
 
 
 def matched(x: str, keep: bool = True) -> str:

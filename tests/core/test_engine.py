@@ -6,7 +6,7 @@ import pytest
 from gleaner.config import Settings
 from gleaner.operators import evidence, sections
 from gleaner.plans import prompts
-from gleaner.plans.engine import Engine
+from gleaner.plans.engine import Engine, chain
 from gleaner.sources import files
 from pyspark.sql import functions as F
 
@@ -127,6 +127,12 @@ def test_answers_with_and_without_a_model(spark, engine):
     assert strict.contexts.filter("query_id = 0").count() >= result.contexts.filter("query_id = 0").count() > 0
 
 
+def test_models_are_asked_in_turn():
+    fails = lambda: lambda prompt: 1 / 0
+    silent, speaks = (lambda said=said: lambda prompt: said for said in ("", "yes"))
+    assert chain(fails, silent, speaks)()("?") == "yes" and chain(silent, fails)()("?") == ""
+
+
 def test_no_contexts_have_a_fixed_answer(spark):
     row = spark.createDataFrame([(None, None, "q")], "sources_text string, facts string, text string")
     assert row.select(prompts.local_answer(F.col("facts")).alias("a")).first().a == prompts.NO_CONTEXT

@@ -99,3 +99,22 @@ def test_sql_functions(spark):
     U.register(spark)
     assert spark.sql("SELECT clean_text('Hello ,world') AS c, estimate_tokens('abc') AS n").first() == ("Hello, world", 2)
     assert spark.sql("SELECT content FROM chunk_text('# A\\nSome words here.')").first().content == "Some words here."
+
+
+@pytest.mark.parametrize("raw", ["ΣΊΣΥΦΟΣ", "Straße µ ſoft", "İstanbul ǅ", "ÀÉ đĐ", "ﬁn ½ x²", "ёж ЙОД"])
+def test_search_terms_fold_every_script(spark, raw):
+    assert value(spark, lambda c: F.array_join(U.terms(c), " "), raw) == " ".join(U.terms_of(raw))
+    if "ﬁ" not in raw and "İ" not in raw:
+        assert value(spark, T.casefold, raw) == raw.casefold()
+
+
+def test_terms_are_those_of_the_column_expression(spark):
+    texts = ["La hàm số, và x=12 của THPT!", "", "a b cc dd_ee 3.14", "Định lý: tam giác vuông"]
+    for text in texts:
+        assert value(spark, T.terms, text) == U.terms_of(text)
+
+
+@pytest.mark.parametrize(("number", "want"), [(0.0, "0.000"), (0.0005, "0.001"), (0.0015, "0.002"), (2.6745, "2.675"), (-0.0004, "-0.000"), (1 / 3, "0.333")])
+def test_three_places_round_the_binary_value(spark, number, want):
+    assert spark.createDataFrame([(number,)], "x double").select(U.three_places("x").alias("v")).first().v == f"{number:.3f}"
+    assert abs(float(want) - number) <= 0.00051
