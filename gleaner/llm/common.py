@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have before it is broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 50_000
+from gleaner.functions.frames import BROADCAST_ROWS, discard, small, staged
+
+__all__ = ["BROADCAST_ROWS", "discard", "small"]
 
 #: Rows of one key that a task of a join may meet before the key is dealt over several.
 HOT_ROWS = 256
@@ -26,16 +26,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a
-    local session may name none; it takes its warehouse."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-
-
 class Scratch:
     """Stage tables written while it is open; release() deletes those that
     nothing will read any more."""
@@ -62,22 +52,10 @@ def scratch() -> Iterator[Scratch]:
         _OPEN.remove(found)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes stage tables."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once into the shared folder and rereads it: cuts lineage and
     survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stage_path = path
+    out = staged(df, f"stage-{tag}")
     for found in _OPEN:
         found.made.append(out)
     return out
@@ -98,12 +76,6 @@ def meet(rows: DataFrame, table: DataFrame, key: str, deal: Column, total: int,
     return dealt.join(shown, [key, "_way"], how).drop("_way")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else as it is
-    (the planner then shuffles it). df should be cheap, such as a stage table."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
-
-
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null ids fall in fold -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(-1))
