@@ -18,7 +18,8 @@ _STOP = frozenset(STOP_WORDS)
 
 def bare(text: str) -> str:
     apart = unicodedata.normalize("NFKD", text)
-    return apart if apart.isascii() else "".join(ch for ch in apart if not unicodedata.combining(ch))
+    marks = {} if apart.isascii() else {ord(ch): None for ch in set(apart) if unicodedata.combining(ch)}
+    return apart.translate(marks) if marks else apart
 
 
 def terms_of(text: str) -> list[str]:
