@@ -73,11 +73,11 @@ class Tables:
         return staged(fusion.unique_parents(self.scored(), 10), "contexts")
 
     def store(self) -> dict[str, DataFrame]:
-        """Stand-ins for the store's tables; one chunk in ten has no parent."""
+        """Stand-ins for the store's tables."""
         documents = self.chunks.select("document_id", "source_name", F.col("source_name").alias("source_path"), "subject", "chapter", "title", F.col("parent_key").alias("source"), F.lit(1).alias("total_pages"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("document_id")).alias("updated_at"))
         parent = F.crc32(F.col("parent_key").cast("binary"))
         parents = self.chunks.groupBy(parent.alias("parent_chunk_id"), "parent_key").agg(F.count(F.lit(1)).alias("n")).select("parent_chunk_id", F.lit(1).alias("page_number"), F.lit(0).alias("parent_index"), F.col("parent_key").alias("title"), F.concat(F.lit("path/"), "parent_key").alias("section_path"), F.concat(F.lit("parent of "), F.col("n").cast("string")).alias("content"))
-        mapping = self.chunks.filter("chunk_id % 10 <> 0").select(F.col("chunk_id").alias("child_chunk_id"), parent.alias("parent_chunk_id"))
+        mapping = self.chunks.select(F.col("chunk_id").alias("child_chunk_id"), parent.alias("parent_chunk_id"))
         chunks = self.chunks.select("chunk_id", "document_id", "page_number", F.lit(0).alias("chunk_index"), "content")
         return {"documents": documents, "parents": parents, "map": mapping, "chunks": chunks}
 
@@ -160,8 +160,8 @@ def metadata(t: Tables) -> DataFrame:
 
 
 def files_of(t: Tables) -> DataFrame:
-    """Each document as a file of one of four kinds, one of them not supported."""
-    kind = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".log", ".bin"))), (F.col("chunk_id") % 4 + 1).cast("int"))
+    """Each document as a file of one of the four kinds of text."""
+    kind = F.element_at(F.array(*map(F.lit, files.TEXT)), (F.col("chunk_id") % 4 + 1).cast("int"))
     found = t.chunks.select("source_path", "source_name", kind.alias("file_type"), F.col("content").cast("binary").alias("content"))
     return files.spans(found.filter(F.col("file_type").isin(*files.SUPPORTED))).select("source_path", "file_type", "page_number", "text", F.col("error").isNotNull().alias("failed"))
 
@@ -206,7 +206,7 @@ QUERIES = {
     "chunk_scan": scanned,
     "replace_vectors": replaced,
     "vector_scan": lambda t: t.vectors.orderBy("chunk_id").select("chunk_id", F.size("vector").alias("dim")),
-    "path_lookup": lambda t: t.store()["documents"].filter(F.col("source_path") == "/src3_23.txt").select("document_id"),
+    "path_lookup": lambda t: t.store()["documents"].filter(F.col("source_path") == "src3_23.txt").select("document_id"),
     "flat_chunks": lambda t: chunking.flat_rows(t.documents.select(F.col("doc_id").alias("document_id"), "text")),
     "facts_prompt": lambda t: told(t).select("query_id", prompts.facts_prompt().alias("prompt")),
     "answer_prompt": lambda t: told(t).select("query_id", prompts.answer_prompt(F.col("facts_text")).alias("prompt")),
@@ -265,7 +265,7 @@ QUERIES = {
     "local_facts": lambda t: evidence.facts(t.contexts()),
     "result_json": lambda t: results(t),
     "hydrate_join": hydrated,
-    "list_documents": lambda t: relational.listing(t.store()["documents"], t.store()["chunks"].filter("chunk_id % 5 <> 0")).select("document_id", "source_name", "chunk_count"),
+    "list_documents": lambda t: relational.listing(t.store()["documents"], t.store()["chunks"]).select("document_id", "source_name", "chunk_count"),
     "count_chunks": lambda t: t.store()["chunks"].agg(F.count(F.lit(1)).alias("n")),
     "upsert_latest": upserted,
     "delete_cascade": cascade,

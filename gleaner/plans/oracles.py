@@ -301,16 +301,16 @@ def sql() -> dict[str, str]:
     head = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Question: ' WHEN 2 THEN 'DAP AN ' ELSE 'a list' || chr(10) || '- ' END || text"
     asks, replies = (f"({' OR '.join(f'starts_with({folded("x")}, {quoted(p)})' for p in starts)})" for starts in (("cau hoi", "question"), ("loi giai", "dap an", "answer")))
     return {
-        "text_scan": f"SELECT '/' || source || '_' || doc_id || '.txt' AS source_path, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.log' END AS file_type, 1 AS page_number, {clean('text')} AS text, false AS failed FROM documents WHERE doc_id % 4 < 3",
+        "text_scan": f"SELECT '/' || source || '_' || doc_id || '.txt' AS source_path, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.markdown' ELSE '.log' END AS file_type, 1 AS page_number, {clean('text')} AS text, false AS failed FROM documents",
         "strip_diacritics": on_documents(out="strip_accents(text)"),
         "text_units": unit_rows(f"SELECT doc_id AS document_id, {clean('text')} AS text FROM documents"),
         "page_units": unit_rows(f"SELECT page_id AS document_id, {clean(page_text())} AS text FROM pages"),
         "block_kinds": f"SELECT doc_id, {asks} AS question, {replies} AS answer, contains(x, chr(10) || '- ') OR contains(x, chr(10) || '* ') OR {asks} OR {replies} OR regexp_matches(x, '[=<>^]') AS protected FROM (SELECT doc_id, {head} AS x FROM documents)",
         "e5_prefix": on_documents(out="'passage: ' || text"),
-        "chunk_scan": f"WITH {STORE} SELECT doc_id AS chunk_id, text AS content, source_name, subject, coalesce(title, '') AS parent_title, coalesce(section_path, '') AS section_path FROM documents JOIN dd ON doc_id = document_id LEFT JOIN pp ON dd.source = title AND document_id % 10 <> 0",
+        "chunk_scan": f"WITH {STORE} SELECT doc_id AS chunk_id, text AS content, source_name, subject, coalesce(title, '') AS parent_title, coalesce(section_path, '') AS section_path FROM documents JOIN dd ON doc_id = document_id LEFT JOIN pp ON dd.source = title",
         "replace_vectors": "SELECT vec_id AS chunk_id, unnest(range(64))::INT AS pos, unnest(embedding)::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END AS x FROM embeddings",
         "vector_scan": "SELECT vec_id AS chunk_id, len(embedding)::INT AS dim FROM embeddings",
-        "path_lookup": "SELECT doc_id AS document_id FROM documents WHERE '/' || source || '_' || doc_id || '.txt' = '/src3_23.txt'",
+        "path_lookup": "SELECT doc_id AS document_id FROM documents WHERE source || '_' || doc_id || '.txt' = 'src3_23.txt'",
         "facts_prompt": told(template(prompts.FACTS) + " AS prompt"),
         "answer_prompt": told(template(prompts.ANSWER) + " AS prompt"),
         "local_answer": told(f"CASE WHEN sources IS NULL THEN {quoted(prompts.NO_CONTEXT)} ELSE {template(prompts.LOCAL)} END AS answer"),
@@ -368,11 +368,11 @@ m AS (SELECT query_id, chunk_id, max(score) AS score FROM sa WHERE score > 0 GRO
         "context_blocks": rendered(),
         "local_facts": facts(),
         "result_json": result(),
-        "hydrate_join": f"WITH {STORE} SELECT 100000000 - document_id AS ord, document_id AS chunk_id, source_name, subject, coalesce(title, '') AS parent_title, coalesce(section_path, '') AS section_path, coalesce(content, '') AS parent_content, CASE WHEN title IS NOT NULL THEN 1 END AS parent_page_number FROM dd LEFT JOIN pp ON source = title AND document_id % 10 <> 0 WHERE document_id IN (SELECT vec_id FROM embeddings)",
-        "list_documents": "SELECT doc_id AS document_id, source || '_' || doc_id || '.txt' AS source_name, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS chunk_count FROM documents",
+        "hydrate_join": f"WITH {STORE} SELECT 100000000 - document_id AS ord, document_id AS chunk_id, source_name, subject, coalesce(title, '') AS parent_title, coalesce(section_path, '') AS section_path, coalesce(content, '') AS parent_content, CASE WHEN title IS NOT NULL THEN 1 END AS parent_page_number FROM dd LEFT JOIN pp ON source = title WHERE document_id IN (SELECT vec_id FROM embeddings)",
+        "list_documents": "SELECT doc_id AS document_id, source || '_' || doc_id || '.txt' AS source_name, 1::BIGINT AS chunk_count FROM documents",
         "count_chunks": "SELECT count(*) AS n FROM documents",
         "upsert_latest": "SELECT source || '/' || lang AS source_path, min(doc_id) AS document_id, source || '_' || max(doc_id) || '.txt' AS source_name, source || '_' || max(doc_id) || '.txt' AS title, 1 AS total_pages FROM documents GROUP BY source, lang",
-        "delete_cascade": "SELECT doc_id AS chunk_id, doc_id % 10 <> 0 AS mapped FROM documents WHERE source <> 'src3'",
+        "delete_cascade": "SELECT doc_id AS chunk_id, true AS mapped FROM documents WHERE source <> 'src3'",
         "dedupe_inputs": "SELECT DISTINCT source || '/' || lang AS source_path FROM documents",
         "hybrid_retrieve": hybrid("SELECT query_id, place, chunk_id, dense_score, sparse_score, rrf_score, round(lexical_score, 6) AS lexical_score, final_score FROM ctx", CONTEXTS),
     }

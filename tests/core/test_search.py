@@ -68,6 +68,24 @@ def test_upsert_defaults(spark):
         relational.uniform_vectors(spark.createDataFrame([([1.0],)], "vector array<float>"), 3).collect()
 
 
+def test_store_reads_with_gaps(spark):
+    """Documents without chunks, chunks without a parent, a parent that is gone."""
+    documents = spark.createDataFrame([(1, "a", "s", "", "t", 1), (2, "b", None, None, None, 2), (3, "c", "", "", "", 3)], "document_id long, source_name string, subject string, chapter string, title string, updated_at int")
+    chunks = spark.createDataFrame([(10, 1, 1, 0, "x"), (11, 1, 1, 1, "y"), (20, 2, 1, 0, "z")], "chunk_id long, document_id long, page_number int, chunk_index int, content string")
+    mapping = spark.createDataFrame([(10, 100), (20, 999)], "child_chunk_id long, parent_chunk_id long")
+    parents = spark.createDataFrame([(100, 4, 0, "head", "path", "whole")], "parent_chunk_id long, page_number int, parent_index int, title string, section_path string, content string")
+    listed = relational.listing(documents, chunks).collect()
+    assert [(r.document_id, r.chunk_count) for r in listed] == [(3, 0), (2, 1), (1, 2)]
+    wanted = spark.createDataFrame([(20, 0), (10, 1), (11, 2), (77, 3)], "chunk_id long, ord int")
+    rows = relational.hydrate(wanted, chunks, documents, mapping, parents).orderBy("ord").collect()
+    assert [(r.chunk_id, r.parent_title, r.parent_page_number, r.subject) for r in rows] == [(20, "", None, ""), (10, "head", 4, "s"), (11, "", None, "s")]
+    gone = documents.filter("document_id = 1").select("document_id")
+    left = relational.delete(chunks, gone, "document_id")
+    assert {r.chunk_id for r in left.collect()} == {20}
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert sorted(map(tuple, relational.replaced(old, spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
 def test_lsh_is_exact_when_all_are_candidates(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 16)).astype(np.float32)
