@@ -224,6 +224,26 @@ def signature() -> str:
     return f"WITH n(bit, normal) AS (VALUES {rows}) SELECT vec_id AS chunk_id, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], normal) >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS sig FROM embeddings, n GROUP BY vec_id"
 
 
+def lsh() -> str:
+    """The probe of buckets in SQL: running sums over the probes of each query, nearest by Hamming distance where all are short."""
+    masks = ", ".join(f"({i}, {int(m)}::BIGINT)" for i, m in enumerate(dense.probes(16)))
+    return f"""WITH g AS MATERIALIZED ({signature()}), sizes AS (SELECT sig, count(*) AS n FROM g GROUP BY sig), t AS (SELECT least(count(*), 288) AS target FROM g),
+m(probe, mask) AS (VALUES {masks}),
+q AS (SELECT chunk_id AS query_id, sig AS own FROM g WHERE chunk_id % 20 = 0),
+o AS (SELECT query_id, probe, xor(own, mask) AS sig FROM q, m),
+w AS (SELECT query_id, o.sig, coalesce(n, 0) AS n, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY query_id ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(coalesce(n, 0)) OVER (PARTITION BY query_id) AS held FROM o LEFT JOIN sizes USING (sig)),
+near AS (SELECT query_id, chunk_id FROM w JOIN g USING (sig), t WHERE held >= target AND before < target),
+far AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY bit_count(xor(own, sig)), chunk_id) AS r FROM q, g WHERE query_id IN (SELECT query_id FROM w, t WHERE held < target)), t WHERE r <= 2 * target),
+s AS (SELECT query_id, chunk_id, {DOT} AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM far) JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id)
+{top("s", 48)}"""
+
+
+#: The settings' documented defaults.
+DEFAULTS = """child_target=450 child_min=200 child_max=700 parent_target=1200 parent_min=900 parent_max=1600 overlap_sentences=2 group_min=2 group_max=4 top_k=3 top_k_dense=48 top_k_sparse=48
+fusion_top_k=96 rerank_top_k=10 ann_candidates=12 min_similarity=0.3 use_hybrid=True use_lsh=False use_reranker=True compress_evidence=True rerank_low=0.34 low_confidence=0.46 low_margin=0.06 low_gap=0.04
+evidence_sentence_min=15 evidence_sentence_max=40 evidence_chunk_min=6 evidence_chunk_max=10 evidence_min_tokens=1500 evidence_max_tokens=3000 embedding_model=hashing api_key="""
+
+
 def facts_sql() -> str:
     """Aggregate: the local facts of a question's contexts."""
     line = f"'- ' || {summary('content', 240)} || ' [Nguon ' || place || ']'"
@@ -301,6 +321,8 @@ def sql() -> dict[str, str]:
     head = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Question: ' WHEN 2 THEN 'DAP AN ' ELSE 'a list' || chr(10) || '- ' END || text"
     asks, replies = (f"({' OR '.join(f'starts_with({folded("x")}, {quoted(p)})' for p in starts)})" for starts in (("cau hoi", "question"), ("loi giai", "dap an", "answer")))
     return {
+        "lsh_topk": lsh(),
+        "settings": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, _, v in (x.partition("=") for x in DEFAULTS.split())) + ") AS s(setting, value)",
         "text_scan": f"SELECT '/' || source || '_' || doc_id || '.txt' AS source_path, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.markdown' ELSE '.log' END AS file_type, 1 AS page_number, {clean('text')} AS text, false AS failed FROM documents",
         "strip_diacritics": on_documents(out="strip_accents(text)"),
         "text_units": unit_rows(f"SELECT doc_id AS document_id, {clean('text')} AS text FROM documents"),
