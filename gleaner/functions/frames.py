@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +35,39 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stage_path = path
+    for found in _OPEN:
+        found.made.append(out)
     return out
 
 
+class Scratch:
+    """Staged tables written while it is open; release() deletes those that
+    nothing will read any more."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def release(self, *kept: DataFrame) -> None:
+        paths = {df.stage_path for df in kept}
+        discard(*(df for df in self.made if df.stage_path not in paths))
+        self.made = list(kept)
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """For who reads a result inside and then releases what it was read from:
+    with scratch() as made: rows = engine.ask(q).answers.collect(); made.release()"""
+    found = Scratch()
+    _OPEN.append(found)
+    try:
+        yield found
+    finally:
+        _OPEN.remove(found)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in tables:

@@ -1,9 +1,11 @@
 """The engine over one small store: settings, models, commits, sources."""
 
+import os
 from dataclasses import replace
 
 import pytest
 from gleaner.config import Settings
+from gleaner.functions.frames import scratch
 from gleaner.operators import evidence, sections
 from gleaner.plans import prompts
 from gleaner.plans.engine import Engine, chain
@@ -127,6 +129,15 @@ def test_answers_with_and_without_a_model(spark, engine):
     assert strict.contexts.filter("query_id = 0").count() >= result.contexts.filter("query_id = 0").count() > 0
 
 
+def test_what_an_answer_was_read_from_can_be_released(spark, engine):
+    with scratch() as made:
+        assert engine().ask(asked(spark, "a leaf")).answers.count() == 1
+        assert made.made and all(os.path.exists(t.stage_path) for t in made.made)
+        paths = [t.stage_path for t in made.made]
+        made.release()
+    assert not any(map(os.path.exists, paths))
+
+
 def test_models_are_asked_in_turn():
     fails = lambda: lambda prompt: 1 / 0
     silent, speaks = (lambda said=said: lambda prompt: said for said in ("", "yes"))
