@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.frames import BROADCAST_ROWS, discard, small, staged
+from gleaner.functions.frames import BROADCAST_ROWS, discard, scratch, small, staged
 
-__all__ = ["BROADCAST_ROWS", "discard", "small"]
+__all__ = ["BROADCAST_ROWS", "discard", "scratch", "small"]
 
 #: Rows of one key that a task of a join may meet before the key is dealt over several.
 HOT_ROWS = 256
@@ -26,39 +25,10 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-class Scratch:
-    """Stage tables written while it is open; release() deletes those that
-    nothing will read any more."""
-
-    def __init__(self):
-        self.made: list[DataFrame] = []
-
-    def release(self, *kept: DataFrame) -> None:
-        paths = {df.stage_path for df in kept}
-        discard(*(df for df in self.made if df.stage_path not in paths))
-        self.made = list(kept)
-
-
-_OPEN: list[Scratch] = []
-
-
-@contextmanager
-def scratch() -> Iterator[Scratch]:
-    found = Scratch()
-    _OPEN.append(found)
-    try:
-        yield found
-    finally:
-        _OPEN.remove(found)
-
-
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once into the shared folder and rereads it: cuts lineage and
     survives lost executors."""
-    out = staged(df, f"stage-{tag}")
-    for found in _OPEN:
-        found.made.append(out)
-    return out
+    return staged(df, f"stage-{tag}")
 
 
 def meet(rows: DataFrame, table: DataFrame, key: str, deal: Column, total: int, how: str = "inner") -> DataFrame:
