@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import sys
 import time
 from pathlib import Path
 from statistics import median
@@ -25,7 +26,8 @@ HEADLINE = ["dense_topk", "lsh_topk", "bm25_topk", "bm25_multi_variant", "rrf_fu
 WORK = Path(os.environ.get("BENCH_WORK", "/tmp/gleaner-bench"))
 
 
-def timed(make, runs: int, clear=lambda: None) -> float:
+def timed(name: str, make, runs: int, clear=lambda: None) -> float:
+    """Median seconds; told on the error stream as they come."""
     each = []
     for _ in range(runs + 1):
         clear()
@@ -34,6 +36,7 @@ def timed(make, runs: int, clear=lambda: None) -> float:
         if isinstance(made, DataFrame):
             made.write.format("noop").mode("overwrite").save()
         each.append(time.perf_counter() - began)
+    print(f"{name}: {median(each[1:]):.3f} s", file=sys.stderr, flush=True)
     return round(median(each[1:]), 3)
 
 
@@ -44,7 +47,7 @@ def with_duckdb(sf_dir: str, cpus: str, runs: int) -> dict[str, float]:
     for path in Path(sf_dir).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     sql = oracles.sql()
-    return {name: timed(lambda name=name: con.execute(sql[name]).fetchall(), runs) for name in HEADLINE if name in sql}
+    return {name: timed(f"duckdb {name}", lambda name=name: con.execute(sql[name]).fetchall(), runs) for name in HEADLINE if name in sql}
 
 
 def main() -> None:
@@ -66,15 +69,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     made, seconds = catalogue.queries(), {}
     for name in HEADLINE:
-        seconds[name] = timed(lambda name=name: made[name](spark, sf_dir), runs, spark.catalog.clearCache)
+        seconds[name] = timed(name, lambda name=name: made[name](spark, sf_dir), runs, spark.catalog.clearCache)
 
     # the same questions over a stored index, and what storing costs: each document as a text file
     t = catalogue.Tables(spark, sf_dir)
     files = t.chunks.select("source_path", "source_name", "file_type", F.col("content").cast("binary").alias("content"))
     folder = iter(range(99))
-    seconds["ingest"] = timed(lambda: Engine(spark, f"{WORK}/store{next(folder)}").ingest(files), runs)
+    seconds["ingest"] = timed("ingest", lambda: Engine(spark, f"{WORK}/store{next(folder)}").ingest(files), runs)
     engine = Engine(spark, f"{WORK}/store0")
-    seconds["stored_retrieve"] = timed(lambda: engine.retrieve(t.questions), runs)
+    seconds["stored_retrieve"] = timed("stored_retrieve", lambda: engine.retrieve(t.questions), runs)
     found = {"metric": "total seconds of headline queries", "value": round(sum(seconds[n] for n in HEADLINE), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}
     if os.environ.get("BENCH_DUCKDB") == "1":
         found["duckdb"] = with_duckdb(sf_dir, cpus, runs)
