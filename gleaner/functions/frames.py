@@ -6,11 +6,16 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a side may have before it is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 50_000
+#: Bytes of text that a Python worker turns into Python objects at once.
+PIECE_BYTES = 1 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -82,6 +87,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[slice]:
+    """Runs of neighbouring rows of at most size bytes of text, or of one row. A
+    batch has 10,000 rows, whatever their texts: as terms in Python lists that is
+    a gigabyte for each worker, as one piece after the other some ten megabytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        held = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, held + size, side="right")))
+        yield slice(start, end)
+        start = end
+
+
 def top(df: DataFrame, k: int, score: str, by: tuple[str, ...] = ("query_id",), tie: str = "chunk_id", rank: str | None = None) -> DataFrame:
     """The k best rows of each group, ties by id. The planner limits each task to
     k rows of a group before anything is shuffled."""

@@ -18,8 +18,9 @@ _STOP = frozenset(STOP_WORDS)
 
 def bare(text: str) -> str:
     apart = unicodedata.normalize("NFKD", text)
-    marks = {} if apart.isascii() else {ord(ch): None for ch in set(apart) if unicodedata.combining(ch)}
-    return apart.translate(marks) if marks else apart
+    for mark in () if apart.isascii() else filter(unicodedata.combining, set(apart)):
+        apart = apart.replace(mark, "")
+    return apart
 
 
 def terms_of(text: str) -> list[str]:

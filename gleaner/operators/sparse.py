@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.functions.frames import BROADCAST_ROWS, small, staged, top
+from gleaner.functions.frames import BROADCAST_ROWS, pieces, small, staged, top
 from gleaner.functions.unicode import terms, terms_of
 
 K1, B, SCALE = 1.4, 0.75, 6
@@ -44,7 +44,7 @@ def posted(chunks: DataFrame, text, id_column: str = "chunk_id", only: set[str]
     names = [*keep, "chunk_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole[at] for whole in batches for at in pieces(whole.column("text"))):
             found = [terms_of(x or "") for x in batch.column("text").to_pylist()]
             counts = [Counter(t for t in own if t in only) if only is not None else Counter(own) for own in found]
             lengths, sizes = (np.fromiter(map(len, x), np.int64, len(found)) for x in (found, counts))
