@@ -225,7 +225,7 @@ QUERIES = {
     "sentences": lambda t: t.documents.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence")),
     "sentence_overlap": on_documents(out=T.sentence_overlap),
     "intent": on_documents(intent=T.intent),
-    "keywords": on_documents(keywords=lambda c: F.array_join(T.keywords(c), ",")),
+    "keywords": on_documents(keywords=unicode.labels),
     "doc_metadata": metadata,
     "doc_type": lambda t: name_of(t).select("chunk_id", T.document_type("name", F.element_at(F.array(*map(F.lit, (".txt", ".pdf", ".pptx", ".md"))), (F.col("chunk_id") % 4 + 1).cast("int"))).alias("doc_type")),
     "context_header": lambda t: t.chunks.select("chunk_id", T.context_header(F.col("subject"), F.lit(" Lop 9 "), F.col("chapter"), F.col("parent_key"), F.col("chunk_id") % 3).alias("header")),

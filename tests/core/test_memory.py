@@ -3,8 +3,11 @@
 import tracemalloc
 
 import pyarrow as pa
+from gleaner.functions import text as T
+from gleaner.functions import unicode
 from gleaner.functions.frames import pieces
-from gleaner.operators import sparse
+from gleaner.operators import chunking, sparse
+from pyspark.sql import functions as F
 
 TEXT = " ".join(f"word{i}" for i in range(400))
 
@@ -38,3 +41,36 @@ def test_pieces_cover_all_rows():
 def test_postings_hold_a_piece(spark, monkeypatch):
     run = caught(spark, monkeypatch, lambda df: sparse.posted(df, "text"))
     assert held(run, 3_000) < 1.5 * held(run, 600)
+
+
+def test_units_hold_a_piece(spark, monkeypatch):
+    run = caught(spark, monkeypatch, chunking.unit_rows)
+    assert held(run, 3_000) < 1.5 * held(run, 600)
+
+
+def test_terms_hold_a_piece():
+    def most(rows):
+        texts = pa.array([TEXT] * rows)
+        tracemalloc.start()
+        assert len(unicode.terms.func(texts)) == rows
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    assert most(3_000) < 1.5 * most(600)
+
+
+ODD = [None, "", "la gi", "xla gi", "la gi_", "La  GI?", "định nghĩa là gì", "đinh nghia", "la​gi", "ﬁ la gi", "ｌａ gi", "ΣΑΣ la gis so sánh", "straße chứng minh² chứng minh", "İ CHỨNG\x1fMINH", "ví dụ", "vi du vi_du xvi du", "bai tap1 loi\ngiai", "Ⅷ vi sao ẛ ǅ", " cach laḿ", "x´vi du"]
+
+
+def test_intents_and_labels_are_those_of_the_column_expressions(spark):
+    rows = spark.createDataFrame([(x,) for x in ODD], "text string")
+    both = rows.select("text", T.intent("text"), unicode.intents("text"), F.array_join(T.keywords("text"), ","), unicode.labels("text"))
+    for text, intent, own_intent, labels, own_labels in both.collect():
+        assert (text, intent, labels) == (text, own_intent, own_labels)
+
+
+def test_a_text_is_folded_once(spark):
+    for make in (T.intent, T.keywords, lambda c: T.clarification(T.intent(c))):
+        plan = spark.range(1).select(make(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1
