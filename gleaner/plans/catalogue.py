@@ -224,7 +224,7 @@ QUERIES = {
     "sparse_corpus": lambda t: t.chunks.select("chunk_id", F.array_join(unicode.terms(sparse.blended("subject", "chapter", "parent_title", "section_path", "content")), " ").alias("terms")),
     "sentences": lambda t: t.documents.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence")),
     "sentence_overlap": on_documents(out=T.sentence_overlap),
-    "intent": on_documents(intent=T.intent),
+    "intent": on_documents(intent=unicode.intents),
     "keywords": on_documents(keywords=unicode.labels),
     "doc_metadata": metadata,
     "doc_type": lambda t: name_of(t).select("chunk_id", T.document_type("name", F.element_at(F.array(*map(F.lit, (".txt", ".pdf", ".pptx", ".md"))), (F.col("chunk_id") % 4 + 1).cast("int"))).alias("doc_type")),
