@@ -258,7 +258,7 @@ QUERIES = {
     "unique_parents": pick(Tables.contexts, "query_id", "chunk_id", "place"),
     "confidence": lambda t: evidence.gate(t.contexts(), t.questions).select("query_id", "confidence"),
     "needs_clarification": lambda t: evidence.gate(t.contexts(), t.questions).select("query_id", "needs_clarification"),
-    "clarification_text": lambda t: t.documents.select("doc_id", T.clarification(T.intent("text")).alias("answer")),
+    "clarification_text": lambda t: t.documents.select("doc_id", T.clarification(unicode.intents("text")).alias("answer")),
     "evidence_budget": lambda t: evidence.budget(t.contexts(), T.token_count("content")).select("query_id", "chunk_id", "place", "tokens"),
     "evidence_sentences": lambda t: evidence.evidence(evidence.budget(t.contexts(), T.token_count("content")), t.questions),
     "context_blocks": lambda t: evidence.rendered(t.contexts()),
