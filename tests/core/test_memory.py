@@ -74,3 +74,8 @@ def test_a_text_is_folded_once(spark):
     for make in (T.intent, T.keywords, lambda c: T.clarification(T.intent(c))):
         plan = spark.range(1).select(make(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("lower(") == 1
+
+
+def test_asked_postings_hold_a_piece(spark, monkeypatch):
+    run = caught(spark, monkeypatch, lambda df: sparse.posted(df, "text", only={"word1", "word2"}))
+    assert held(run, 3_000) < 1.5 * held(run, 600)
