@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import pieces, texts_of
+from gleaner.llm.common import by_piece, give_back
 
 #: Fixed by the format of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words and token pairs that a worker remembers before it starts anew.
-WORDS_KEPT, PAIRS_KEPT = 150_000, 300_000
+WORDS_KEPT, PAIRS_KEPT = 60_000, 150_000
 #: The classes of PATTERN among characters below U+0250, for Python's faster engine.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
 _CUT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
@@ -71,6 +71,10 @@ class TrieBpe:
         self.bytes |= {t["id"]: t["content"].encode() for t in added}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.cut = regex.compile(PATTERN).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the vocabulary stays, as a worker does when its task has ended."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.clean: dict[int, bool] = {}
@@ -185,13 +189,13 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for start, end in pieces(texts):
-                found = bpe.encode_all(texts[start:end])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                flat = np.frombuffer(b"".join(found), np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
+        for texts, part in by_piece(batches):
+            found = bpe.encode_all(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(found), np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
+        bpe.forget()
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -223,14 +227,14 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for start, end in pieces(texts, 1_000_000):
-                found = bpe.encode_all(texts[start:end])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                back = pa.array([bpe.decode(memoryview(x).cast("i")) for x in found], pa.string())
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start), ids, back], ["id", "ids", "text"])
+        for texts, part in by_piece(batches):
+            found = bpe.encode_all(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+            back = pa.array([bpe.decode(memoryview(x).cast("i")) for x in found], pa.string())
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), ids, back], ["id", "ids", "text"])
+        bpe.forget()
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, text string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import frames
 from gleaner.functions.frames import BROADCAST_ROWS, discard, scratch, small, staged
 
 __all__ = ["BROADCAST_ROWS", "discard", "scratch", "small"]
@@ -73,6 +75,25 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's and the C library's allocators keep of
+    freed memory. Workers outlive a stage of a plan: what one stage leaves in
+    them stands beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def by_piece(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1_000_000) -> Iterator[tuple[list[str], pa.RecordBatch]]:
+    """(texts, null as empty; their rows) of each batch, in runs of at most size
+    bytes of text or of one row. Only one run is held as Python objects."""
+    for batch in batches:
+        for at in frames.pieces(batch.column(column), size):
+            part = batch[at]
+            yield texts_of(part, column), part
+        give_back()
+
+
 def list_array(parts: list, kind: pa.DataType, dtype: type) -> pa.ListArray:
     """An Arrow list column from one sequence of numbers for each row."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import list_array, meet, pieces, scratch, small, stage_table, texts_of
+from gleaner.llm.common import by_piece, list_array, meet, scratch, small, stage_table
 from gleaner.llm.graphs import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -130,16 +130,13 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of = Grams(words)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for start, end in pieces(texts, 1_000_000):
-                grams, sizes = grams_of(texts[start:end])
-                found = np.zeros((0, bands), np.int64)
-                if len(grams):
-                    found = band_keys(minima(grams, sizes, bands * rows), bands, rows)
-                offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], ["id", "key", "n", "bands"])
+        for texts, part in by_piece(batches):
+            grams, sizes = grams_of(texts)
+            found = np.zeros((0, bands), np.int64)
+            if len(grams):
+                found = band_keys(minima(grams, sizes, bands * rows), bands, rows)
+            offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], ["id", "key", "n", "bands"])
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     kind = docs.schema[id_column].dataType.simpleString()
@@ -151,21 +148,22 @@ def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
     key, which have one text, each task gives the first."""
     names = [c for c in rows.columns if c != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of, seen = Grams(words), set()
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             first = []
             for i, key in enumerate(batch.column("key").to_pylist()):
                 if key not in seen:
                     seen.add(key)
                     first.append(i)
-            batch = batch.take(pa.array(first, pa.int64()))
-            texts = texts_of(batch, "text")
-            for start, end in pieces(texts, 1_000_000):
-                grams, sizes = grams_of(texts[start:end])
-                sets = [np.unique(g).view(np.int64) for g in np.split(grams, np.cumsum(sizes)[:-1])]
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), list_array(sets, pa.int64(), np.int64)], [*names, "grams"])
+            yield batch.take(pa.array(first, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams_of = Grams(words)
+        for texts, part in by_piece(firsts(batches)):
+            grams, sizes = grams_of(texts)
+            sets = [np.unique(g).view(np.int64) for g in np.split(grams, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), list_array(sets, pa.int64(), np.int64)], [*names, "grams"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(run, f"{schema}, grams array<long>")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import pieces, texts_of
+from gleaner.llm.common import by_piece, give_back
 
 LENGTH, STRIDE = 64, 32
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, SLICES, TRAIN_TOTAL = 2000, 3000, 200_000, 10, 50_000_000
@@ -43,7 +43,7 @@ PASSES, MINED = 100, (0.1, 0.25, 0.5, 0.75)
 #: Training texts in which a bucket must occur to have a vector; damps the steps of buckets with small gradients.
 MET, DAMPING = 4, 1e-4
 #: Distinct words whose network inputs a worker remembers before it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -336,11 +336,11 @@ def score(docs: DataFrame, network: Network | None, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network) if network is not None else None
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for start, end in pieces(texts, 1_000_000):
-                found = scorer.scores(texts[start:end]) if scorer else np.zeros(end - start)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start), pa.array(found, pa.float64())], ["id", "score"])
+        for texts, part in by_piece(batches):
+            found = scorer.scores(texts) if scorer else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.float64())], ["id", "score"])
+        scorer = None
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
