@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: Bytes of text that a Python worker turns into Python objects at once.
 PIECE_BYTES = 1 << 20
+#: Bytes of a batch that is sent to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,6 +89,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, for a step in Python: its session sends workers batches of at most
+    BATCH_BYTES (or what it asks for, if that is less). Spark's own limit is
+    64 MB, or 10,000 rows, which the JVM holds in buffers that double as they
+    fill and the worker holds whole, for each task."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < own <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def filled(batches: Iterable[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, of so many rows or more, for a step that
+    gives rows for each batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[slice]:
     """Runs of neighbouring rows of at most size bytes of text, or of one row. A
     batch has 10,000 rows, whatever their texts: as terms in Python lists that is

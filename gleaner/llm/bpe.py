@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import by_piece, give_back
+from gleaner.llm.common import batched, by_piece, give_back, resident
 
 #: Fixed by the format of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -173,14 +173,9 @@ class TrieBpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, TrieBpe] = {}
-
-
 def tokenizer(path: str) -> TrieBpe:
     """The tokenizer of that file, read once in each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = TrieBpe(path)
-    return _LOADED[path]
+    return resident(path, lambda: TrieBpe(path))
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -198,7 +193,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
         give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    out = batched(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_column)
 
 
@@ -237,7 +232,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
         give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, text string")
+    out = batched(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, text string")
     return out.withColumnRenamed("id", id_column)
 
 

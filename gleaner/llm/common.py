@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import frames
-from gleaner.functions.frames import BROADCAST_ROWS, discard, scratch, small, staged
+from gleaner.functions.frames import BROADCAST_ROWS, batched, discard, scratch, small, staged
 
-__all__ = ["BROADCAST_ROWS", "discard", "scratch", "small"]
+__all__ = ["BROADCAST_ROWS", "batched", "discard", "scratch", "small"]
 
 #: Rows of one key that a task of a join may meet before the key is dealt over several.
 HOT_ROWS = 256
@@ -84,6 +85,25 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker process keeps beyond a task, by name.
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], Any]) -> Any:
+    """What make gives, made once in each worker process until vacate()."""
+    if name not in _RESIDENT:
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
+def vacate() -> None:
+    """For a step that keeps nothing itself: lets go of what the steps before it
+    left in this worker process."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        give_back()
+
+
 def by_piece(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1_000_000) -> Iterator[tuple[list[str], pa.RecordBatch]]:
     """(texts, null as empty; their rows) of each batch, in runs of at most size
     bytes of text or of one row. Only one run is held as Python objects."""

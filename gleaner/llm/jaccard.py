@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import by_piece, list_array, meet, scratch, small, stage_table
+from gleaner.llm.common import batched, by_piece, list_array, meet, scratch, small, stage_table, vacate
 from gleaner.llm.graphs import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -129,6 +129,7 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     bands, rows = bands_for(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         grams_of = Grams(words)
         for texts, part in by_piece(batches):
             grams, sizes = grams_of(texts)
@@ -140,7 +141,7 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).mapInArrow(run, f"id {kind}, key binary, n long, bands array<long>")
+    return batched(docs).select(F.col(id_column).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).mapInArrow(run, f"id {kind}, key binary, n long, bands array<long>")
 
 
 def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -159,6 +160,7 @@ def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
             yield batch.take(pa.array(first, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         grams_of = Grams(words)
         for texts, part in by_piece(firsts(batches)):
             grams, sizes = grams_of(texts)
@@ -166,7 +168,7 @@ def gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), list_array(sets, pa.int64(), np.int64)], [*names, "grams"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, grams array<long>")
+    return batched(rows).mapInArrow(run, f"{schema}, grams array<long>")
 
 
 def blocked(nodes: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import by_piece, give_back
+from gleaner.llm.common import batched, by_piece, give_back, vacate
 
 LENGTH, STRIDE = 64, 32
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, SLICES, TRAIN_TOTAL = 2000, 3000, 200_000, 10, 50_000_000
@@ -335,6 +335,7 @@ def score(docs: DataFrame, network: Network | None, id_column: str = "doc_id", t
     """(id, score) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         scorer = Scorer(network) if network is not None else None
         for texts, part in by_piece(batches):
             found = scorer.scores(texts) if scorer else np.zeros(len(texts))
@@ -343,4 +344,4 @@ def score(docs: DataFrame, network: Network | None, id_column: str = "doc_id", t
         give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return batched(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
