@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.frames import small, staged, top
+from gleaner.functions.frames import filled, small, staged, top
 
 SCALE, SEED = 6, 42
 #: Query vectors that are sent to every task at once; more are asked in blocks. Scores that a task holds at once.
@@ -48,7 +48,7 @@ def _best(asked: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
     names, matrix = asked.column("query_id").to_numpy(), _matrix(asked.column("vector").combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filled(batches):
             if not len(batch) or not len(names):
                 continue
             ids, rows = batch.column("chunk_id").to_numpy(), _matrix(batch.column("vector"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.functions.frames import BROADCAST_ROWS, top
+from gleaner.functions.frames import BROADCAST_ROWS, batched, top
 from gleaner.functions.unicode import terms
 
 RRF_K, FUSED, MIN_SIMILARITY, MIN_LEXICAL, SCALE = 60, 96, 0.30, 0.03, 9
@@ -88,7 +88,7 @@ def score(fused: DataFrame, chunks: DataFrame, questions: DataFrame, keep: tuple
     hits = with_maxima(fused)
     # one row for each chunk, so that its text is read and cut into terms once
     packed = hits.groupBy("chunk_id").agg(F.collect_list(F.struct(*[c for c in hits.columns if c != "chunk_id"])).alias("hits"))
-    rows = hydrate(packed, chunks, keep, few).withColumn("own_terms", F.array_distinct(terms(content)))
+    rows = hydrate(packed, batched(chunks), keep, few).withColumn("own_terms", F.array_distinct(terms(content)))
     rows = rows.select("chunk_id", *keep, "own_terms", F.inline("hits")).join(F.broadcast(asked) if few else asked, "query_id")
     rows = relevant(rows.withColumn("lexical_score", T.lexical_overlap(F.col("query_terms"), F.col("own_terms"))).drop("query_terms", "own_terms"), min_similarity)
     if rerank is None:

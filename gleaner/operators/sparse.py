@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.functions.frames import BROADCAST_ROWS, pieces, small, staged, top
+from gleaner.functions.frames import BROADCAST_ROWS, batched, pieces, small, staged, top
 from gleaner.functions.unicode import terms, terms_of
 
 K1, B, SCALE = 1.4, 0.75, 6
@@ -55,7 +55,7 @@ def posted(chunks: DataFrame, text, id_column: str = "chunk_id", only: set[str]
 
     rows = chunks.select(*keep, F.col(id_column).alias("chunk_id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, length long, term string, tf long")
+    return batched(rows).mapInArrow(run, f"{kinds}, length long, term string, tf long")
 
 
 def totals(rows: DataFrame) -> DataFrame:

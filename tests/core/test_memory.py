@@ -3,10 +3,11 @@
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 from gleaner.functions import text as T
 from gleaner.functions import unicode
-from gleaner.functions.frames import pieces
-from gleaner.operators import chunking, sparse
+from gleaner.functions.frames import BATCH_BYTES, filled, pieces
+from gleaner.operators import chunking, fusion, sparse
 from pyspark.sql import functions as F
 
 TEXT = " ".join(f"word{i}" for i in range(400))
@@ -79,3 +80,30 @@ def test_a_text_is_folded_once(spark):
 def test_asked_postings_hold_a_piece(spark, monkeypatch):
     run = caught(spark, monkeypatch, lambda df: sparse.posted(df, "text", only={"word1", "word2"}))
     assert held(run, 3_000) < 1.5 * held(run, 600)
+
+
+def scored(rows):
+    spark = rows.sparkSession
+    fused = spark.createDataFrame([(1, 1, 0.5, 0.5, 0.5, 1)], "query_id long, chunk_id long, dense_score double, sparse_score double, rrf_score double, rank int")
+    return fusion.score(fused, rows, spark.createDataFrame([(1, "word")], "query_id long, text string"), keep=("content",))
+
+
+@pytest.mark.parametrize("make", [lambda rows: sparse.posted(rows, "content"), scored])
+def test_batches_have_bounded_bytes(spark, make):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 6_000, 1, 1).selectExpr("id AS chunk_id", "repeat('a', 3000) AS content")
+    try:
+        spark.conf.set(name, "64MB")
+        make(rows)
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes], "rows": [len(b)]}) for b in batches), "n long, rows long").collect()
+        assert max(r.n for r in sizes) < 1.1 * BATCH_BYTES and sum(r.rows for r in sizes) == 6_000
+    finally:
+        spark.conf.unset(name)
+
+
+def test_small_batches_are_joined():
+    batches = [pa.RecordBatch.from_pydict({"n": pa.array(range(k), pa.int64())}) for k in (2, 0, 3, 7, 1)]
+    joined = list(filled(iter(batches), 4))
+    assert [len(b) for b in joined] == [5, 7, 1]
+    assert pa.Table.from_batches(joined) == pa.Table.from_batches(batches).combine_chunks()
+    assert list(filled(iter([]))) == []
